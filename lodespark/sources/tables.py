@@ -1,11 +1,34 @@
-"""Parquet tables by name."""
+"""Parquet tables by name, and the library's own code where workers would lack it."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = Path(__file__).resolve().parents[2]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers once a session, unless their path already leads to it."""
+    app = spark.sparkContext.applicationId
+    on_path = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app in _shipped or str(_ROOT) in {str(Path(p).resolve()) for p in on_path if p}:
+        return
+    out = Path(tempfile.mkdtemp()) / "lodespark.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in (_ROOT / "lodespark").rglob("*.py"):
+            z.write(f, f.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(str(out))
+    _shipped.add(app)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``, with ``columns`` only where some are given."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
