@@ -26,6 +26,8 @@ from lodespark.storage import stored
 FAMILIAR = 0.12
 #: The most gradings that the fit looks at (those of the smallest hash of their document and grader).
 GRADINGS = 20_000
+#: Share of a band's gradings at either end that may be slips and don't move a cut.
+SLIPS = 0.05
 #: Bands from the least to the most demanding.
 BANDS = ("basic", "intermediate", "advanced")
 
@@ -118,32 +120,25 @@ class Formula:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Formula:
-    """The weight and cuts under which most gradings hold; of equal ones those with the widest gap at the cuts.
+    """The weight under which most gradings hold; cuts lie midway between neighbouring bands, each taken without its outer SLIPS.
 
-    x: rows of (unfamiliar, sentence_words); y: band ordinals. Without gradings of all bands the cuts
-    stand at 11 and 22, for sentence length alone.
+    x: rows of (unfamiliar, sentence_words); y: band ordinals. Of weights whose gradings hold about
+    equally often (within a third of a percent), the one that sets the bands furthest apart. Without
+    gradings of all bands the cuts stand at 11 and 22, for sentence length alone.
     """
     if len(set(y.tolist())) < len(BANDS):
         return Formula(0.0, (11.0, 22.0), 0.0)
-    best: tuple = ()
-    for w in np.linspace(0, 0.5, 21):
+    tried = []
+    for w in np.linspace(0, 0.5, 51):
         score = w * 100 * x[:, 0] + (1 - w) * x[:, 1]
-        order = np.argsort(score, kind="stable")
-        s = score[order]
-        upto = [np.r_[0, np.cumsum(y[order] == k)] for k in range(3)]
-        places = np.flatnonzero(np.r_[True, s[1:] > s[:-1], True])  # a cut stands before this one
-        gap = np.r_[0, s[1:] - s[:-1], 0][places]
-        low = (upto[0] - upto[1])[places]
-        high = (upto[1] - upto[2])[places]
-        for b in range(len(places)):
-            at = np.flatnonzero(low[: b + 1] == low[: b + 1].max())
-            a = at[np.argmax(gap[at])]
-            right = low[a] + high[b] + upto[2][-1]
-            rank = (right, min(gap[a], gap[b]))
-            if not best or rank > best[0]:
-                mid = [(s[max(places[i] - 1, 0)] + s[min(places[i], len(s) - 1)]) / 2 for i in (a, b)]
-                best = (rank, float(w), (float(mid[0]), float(mid[1])))
-    return Formula(best[1], best[2], float(best[0][0]) / len(y))
+        edges = [np.quantile(score[y == k], (SLIPS, 1 - SLIPS)) for k in range(len(BANDS))]
+        gaps = [edges[k + 1][0] - edges[k][1] for k in range(len(BANDS) - 1)]
+        cuts = [(edges[k + 1][0] + edges[k][1]) / 2 for k in range(len(BANDS) - 1)]
+        right = float(np.mean(np.digitize(score, cuts) == y)) if cuts[0] <= cuts[1] else 0.0
+        tried.append((right, min(gaps) / (score.std() or 1.0), float(w), (float(cuts[0]), float(cuts[1]))))
+    most = max(t[0] for t in tried)
+    right, _, w, cuts = max((t for t in tried if t[0] >= most - 1 / 300), key=lambda t: t[1])
+    return Formula(w, cuts, right)
 
 
 def fit_on_gradings(measured: DataFrame, gradings: DataFrame, id_col: str = "doc_id", limit: int = GRADINGS) -> Formula:
