@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import canonical, encode, packing, percentiles, reading
+from lodespark.llm import canonical, encode, packing, percentiles, reading, secrets
 from lodespark.plans.catalog import Catalog
 from lodespark.sources.tables import table
 
@@ -80,3 +80,19 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text", "lang", "doc_kind", "n_chars")
     levels = reading.reading_levels(docs, graded).select("doc_id", "band").distinct()
     return levels.join(graded.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "patches", "patch_id", "file_path", "old_content", "new_content", "diff")
+
+
+@LLM.query("p7_found")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines on which a credential's value starts."""
+    return secrets.found_lines(_patches(spark, sf))
+
+
+@LLM.query("p7_redacted")
+def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts with only the credentials' values blanked."""
+    return secrets.redacted(_patches(spark, sf)).distinct()
