@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.llm import canonical, encode, packing, percentiles, reading, secrets
+from lodespark.llm.syntax import files
 from lodespark.plans.catalog import Catalog
 from lodespark.sources.tables import table
 
@@ -96,3 +97,19 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """The texts with only the credentials' values blanked."""
     return secrets.redacted(_patches(spark, sf)).distinct()
+
+
+def _flags(spark: SparkSession, sf: str) -> DataFrame:
+    return files.flags(table(spark, sf, "patches", "patch_id", "repo", "file_path", "new_content"), table(spark, sf, "file_languages"))
+
+
+@LLM.query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches whose new content is not valid in the language of its path."""
+    return _flags(spark, sf).where("invalid").select("patch_id").distinct()
+
+
+@LLM.query("p4_rates")
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How many files of each repo and language are not valid."""
+    return files.rates(_flags(spark, sf))
