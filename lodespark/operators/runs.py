@@ -26,7 +26,7 @@ def compare(runs: DataFrame, per: str = "repo") -> DataFrame:
         F.sum("findings_count").alias("findings"),
         F.sum("patches_applied").alias("applied"),
         F.sum("patches_blocked").alias("blocked"),
-        F.round(F.avg("duration_seconds"), 2).alias("avg_duration"),
+        F.round(F.avg("duration_seconds") + 1e-9, 2).alias("avg_duration"),
         rate("tests_passed").alias("tests_rate"),
         rate("safety_gates_passed").alias("gates_rate"),
     )

@@ -62,7 +62,7 @@ def changes(rows: DataFrame, attributes: list[str], scope: str = "repo", snapsho
     and are left out; null is a value of an attribute; a scope's first snapshot gives no rows. Repeated
     rows count once.
     """
-    keyed = rows.withColumn("claim_key", norm("claim") if key is None else key).where("claim_key is not null and claim_key != ''")
+    keyed = rows.select(scope, snapshot, load, *attributes, (norm("claim") if key is None else key).alias("claim_key")).where("claim_key is not null and claim_key != ''")
     held, _ = latest_loads(keyed, scope, snapshot, load)
     index = hash_index(held, [scope, "ord", snapshot, "next_no"], "claim_key", attributes)
     new = index.where("ord > 1").select(scope, F.col(snapshot).alias("at"), "claim_key", "h")
@@ -72,7 +72,7 @@ def changes(rows: DataFrame, attributes: list[str], scope: str = "repo", snapsho
 
 def with_values(changed: DataFrame, rows: DataFrame, attributes: list[str], scope: str = "repo", snapshot: str = "snapshot_no", load: str = "load_no") -> DataFrame:
     """Adds structs ``old`` and ``new`` of the attributes to changes; values are fetched for changed keys only."""
-    keyed = rows.withColumn("claim_key", norm("claim")).where("claim_key is not null and claim_key != ''")
+    keyed = rows.select(scope, snapshot, load, *attributes, norm("claim").alias("claim_key")).where("claim_key is not null and claim_key != ''")
     held, _ = latest_loads(keyed, scope, snapshot, load)
     best = held.withColumn("h", row_hash(attributes)).select(scope, snapshot, "next_no", "claim_key", "h", F.struct(*attributes).alias("v"))
     on = [scope, snapshot, "claim_key"]

@@ -298,7 +298,7 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     a as (select l_partkey, sum(w) tw, count(distinct s) src, count(*) filter (d) dc, coalesce(sum(w) filter (c), 0) cw from e group by 1),
     p as (select p_partkey, (p_size % 10) / 10.0::double conf, tw, src, dc, cw from part left join a on p_partkey = l_partkey),
     s as (select *, case when tw is null then conf * 0.5 else greatest(0, least(1, conf * case when round(tw, 6) >= 2.5 then 1.15 when round(tw, 6) >= 1.5 then 1.0 else 0.8 end + least(0.1, dc * 0.05) - case when cw > 0 then least(0.4, cw / tw) else 0 end)) end adj from p)
-    select p_partkey, round(adj, 4)::double adjusted, coalesce(cw > 0, false) has_conflict, (case when tw is null then 0 else round(least(1.0, src / 3.0), 2) end)::double diversity from s""",
+    select p_partkey, round(adj + 1e-9, 4)::double adjusted, coalesce(cw > 0, false) has_conflict, (case when tw is null then 0 else round(least(1.0, src / 3.0), 2) end)::double diversity from s""",
 )
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
     """A claim's confidence adjusted by weight, directness, diversity and conflict of its evidence."""
@@ -312,7 +312,7 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
     factor = F.when(tw >= 2.5, 1.15).when(tw >= 1.5, 1.0).otherwise(0.8)
     bonus, penalty = F.least(F.lit(0.1), F.col("dc") * 0.05), F.when(F.col("cw") > 0, F.least(F.lit(0.4), F.col("cw") / F.col("tw"))).otherwise(0.0)
     adj = F.when(F.col("tw").isNull(), conf * 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf * factor + bonus - penalty)))
-    return p.select("p_partkey", F.round(adj, 4).alias("adjusted"), F.coalesce(F.col("cw") > 0, F.lit(False)).alias("has_conflict"), F.when(F.col("tw").isNull(), 0.0).otherwise(F.round(F.least(F.lit(1.0), F.col("src") / 3), 2)).alias("diversity"))
+    return p.select("p_partkey", F.round(adj + 1e-9, 4).alias("adjusted"), F.coalesce(F.col("cw") > 0, F.lit(False)).alias("has_conflict"), F.when(F.col("tw").isNull(), 0.0).otherwise(F.round(F.least(F.lit(1.0), F.col("src") / 3), 2)).alias("diversity"))
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -168,7 +168,7 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query(
     "run_compare",
-    f"""select repo, count(*) n_runs, sum(findings_count)::bigint findings, sum(patches_applied)::bigint applied, sum(patches_blocked)::bigint blocked, round(avg(duration_seconds), 2) avg_duration,
+    f"""select repo, count(*) n_runs, sum(findings_count)::bigint findings, sum(patches_applied)::bigint applied, sum(patches_blocked)::bigint blocked, round(avg(duration_seconds) + 1e-9, 2) avg_duration,
     round(count(*) filter (tests_passed) * 100.0::double / count(*), 1) tests_rate, round(count(*) filter (safety_gates_passed) * 100.0::double / count(*), 1) gates_rate from {_RUNS} group by 1""",
 )
 def run_compare(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,10 +193,10 @@ def run_trend(spark: SparkSession, sf: str) -> DataFrame:
     return runs.trend(_runs(spark, sf), "patches_applied")
 
 
-@CORE.query("runs_per_mode", rf"select lower(trim(run_mode, ' ')) mode, count(*) n, round(avg(duration_seconds), 2) avg_duration from {_RUNS} group by 1")
+@CORE.query("runs_per_mode", rf"select lower(trim(run_mode, ' ')) mode, count(*) n, round(avg(duration_seconds) + 1e-9, 2) avg_duration from {_RUNS} group by 1")
 def runs_per_mode(spark: SparkSession, sf: str) -> DataFrame:
     """Runs and mean duration by mode."""
-    return _runs(spark, sf).groupBy(F.lower(F.trim("run_mode")).alias("mode")).agg(F.count("*").alias("n"), F.round(F.avg("duration_seconds"), 2).alias("avg_duration"))
+    return _runs(spark, sf).groupBy(F.lower(F.trim("run_mode")).alias("mode")).agg(F.count("*").alias("n"), F.round(F.avg("duration_seconds") + 1e-9, 2).alias("avg_duration"))
 
 
 @CORE.query("run_messages", f"select repo, sum(coalesce(len(errors), 0))::bigint errors, sum(coalesce(len(warnings), 0))::bigint warnings from {_RUNS} group by 1")
