@@ -3,8 +3,8 @@
 A piece (a day, a month, any set of rows) is summarised as sorted runs of values by group, stored
 column-wise. Pieces are combined by union; nothing else is needed to select over several of them.
 With ``error`` 0 the runs hold the values themselves and percentiles are exact; with ``error`` e each
-value is moved to a grid whose steps are a factor (1 + e) / (1 - e) apart, so runs have a bounded
-number of entries and every percentile is within e of the exact one, relatively.
+value is moved to a grid whose steps are a factor (1 + e) ** 2 apart, so runs have a bounded number
+of entries and every percentile is within e of the exact one, relatively.
 
 Selection narrows, for all groups and percentiles at once, the range that holds the wanted rank. In
 each round partitions propose the medians of what they hold of the range (and of its halves and
@@ -53,7 +53,7 @@ def summarise(traces: DataFrame, value: str = "duration_ms", error: float = 0.0)
     """
     rows = measurements(traces, value)
     once = rows.groupBy("trace_id").agg(F.min(_code()).alias("code"), F.max(F.col(value).cast("double")).alias("v")).select("code", "v")
-    step = np.log((1 + error) / (1 - error)) if error else 0.0
+    step = 2 * np.log1p(error)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []

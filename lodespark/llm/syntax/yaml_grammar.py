@@ -33,7 +33,7 @@ _TOKEN = re.compile(
     |(?P<plain>(?:[^\s\-?:,\[\]{{}}\#&*!|>'"%@`]|[\-?:](?=[^\s,\[\]{{}}]))(?:[^\s:\#,\[\]{{}}]|:(?=[^\s,\[\]{{}}])|(?<=\S)\#|[ \t]+(?=[^\s\#:,\[\]{{}}]|:[^\s,\[\]{{}}]))*)|(?P<ws>\s+|(?<=\s)\#[^\n]*)""",
     re.X,
 )
-_KEY = re.compile(rf"""(?P<k>{_DQ.replace('[^"\\\\]', '[^"\\\\\\n]')}|'(?:''|[^'\n])*'|(?:[^\s\-?:,\[\]{{}}\#&*!|>'"%@`]|[\-?:](?=\S))(?:[^\s:\#]|:(?=\S)|(?<=\S)\#|[ \t]+(?=[^\s\#:]|:\S))*)[ \t]*:(?=\s|\Z)""")
+KEY = re.compile(rf"""(?P<k>{_DQ.replace('[^"\\\\]', '[^"\\\\\\n]')}|'(?:''|[^'\n])*'|(?:[^\s\-?:,\[\]{{}}\#&*!|>'"%@`]|[\-?:](?=\S))(?:[^\s:\#]|:(?=\S)|(?<=\S)\#|[ \t]+(?=[^\s\#:]|:\S))*)[ \t]*:(?=\s|\Z)""")
 _PLAIN = re.compile(r"(?:[^\s\-?:,\[\]{}\#&*!|>'\"%@`]|[\-?:](?=\S))(?:[^\s:\#]|:(?=\S)|(?<=\S)\#|[ \t]+(?=[^\s\#:]|:\S))*[ \t]*(?:[ \t]\#.*)?$")
 _PROPS = re.compile(r"(?:(?:&[^\s\[\]{},]+|!(?:<[^>\s]+>|[^\s\[\]{},]*))(?:[ \t]+|$))*")
 
@@ -92,7 +92,7 @@ class _Blocks:
             raise _Fault
         if re.match(r"-(?:\s|$)", body):
             self.sequence(indent)
-        elif re.match(r"\?(?:\s|$)", body) or _KEY.match(body, _PROPS.match(body).end()):
+        elif re.match(r"\?(?:\s|$)", body) or KEY.match(body, _PROPS.match(body).end()):
             self.mapping(indent)
         else:
             self.i += 1
@@ -111,7 +111,7 @@ class _Blocks:
             if (at := self.peek()) is not None and at[0] > indent:
                 self.node(at[0])
             return
-        if re.match(r"-(?:\s|$)", rest) or _KEY.match(rest, _PROPS.match(rest).end()):
+        if re.match(r"-(?:\s|$)", rest) or KEY.match(rest, _PROPS.match(rest).end()):
             self.rows[self.i] = " " * (indent + skip) + rest  # a nested collection that begins on this line
             self.node(indent + skip)
             return
@@ -126,7 +126,7 @@ class _Blocks:
                 continue
             if re.match(r"(?:---|\.\.\.)(?:\s|$)", body) and indent == 0:
                 return
-            m = _KEY.match(body, _PROPS.match(body).end())
+            m = KEY.match(body, _PROPS.match(body).end())
             if not m:
                 raise _Fault
             rest = body[m.end() :].strip()
