@@ -18,3 +18,13 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     """
     small = right.limit(max_rows + 1).count() <= max_rows
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores, for work in Python that follows.
+
+    Where a scan has enough partitions, as any large one has, it is returned as it is. Fewer mean a few
+    small files; their rows are dealt out evenly, whatever their keys.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
