@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.joins import spread
 from lodespark.llm.bpe import default_path, encoder
 
 
@@ -32,5 +33,5 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
                 lo = hi
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(run, f"id {id_field.dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.joins import spread
 from lodespark.llm.bpe import default_path, encoder
 from lodespark.storage import stored
 
@@ -87,7 +88,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(place(ids))], names=["id", "n_tokens", "place"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, place long")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, n_tokens long, place long")
 
 
 class Packer:

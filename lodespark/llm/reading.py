@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.joins import lookup
+from lodespark.joins import lookup, spread
 from lodespark.storage import stored
 
 #: Share of the documents in which a familiar word occurs.
@@ -83,7 +83,7 @@ def word_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_sentences long, n_words long, words map<string,bigint>")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, n_sentences long, n_words long, words map<string,bigint>")
 
 
 def familiar_words(words: DataFrame, n_docs: int, share: float = FAMILIAR) -> DataFrame:

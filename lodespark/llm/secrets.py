@@ -23,6 +23,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.joins import spread
+
 #: Extensions in which a value may stand without quotes.
 BARE_FORMATS = {"yaml", "yml", "env", "ini", "cfg", "conf", "properties", "sh", "md", "txt", ""}
 FIELDS = ("old_content", "new_content", "diff")
@@ -264,7 +266,7 @@ def find(patches: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["patch_id", "field_name", "line_no", "byte_start", "byte_end", "key_path", "kind"])
 
-    rows = patches.select("patch_id", "file_path", *FIELDS)
+    rows = spread(patches.select("patch_id", "file_path", *FIELDS))
     return rows.mapInArrow(run, "patch_id string, field_name string, line_no long, byte_start long, byte_end long, key_path string, kind string")
 
 
@@ -280,7 +282,7 @@ def redacted(patches: DataFrame) -> DataFrame:
                 fields.append(pa.array([redact(t, scan(t, e, field == "diff"), field == "diff") for t, e in zip(texts, exts, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fields], names=["patch_id", "file_path", *FIELDS])
 
-    return patches.select("patch_id", "file_path", *FIELDS).mapInArrow(run, "patch_id string, file_path string, old_content string, new_content string, diff string")
+    return spread(patches.select("patch_id", "file_path", *FIELDS)).mapInArrow(run, "patch_id string, file_path string, old_content string, new_content string, diff string")
 
 
 def _ext(path: str | None) -> str:
