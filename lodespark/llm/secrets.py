@@ -64,10 +64,10 @@ _SAID = re.compile(r"(?i)\b(?:old|former|previous|last|temporary|current)\s+(?P<
 _FLAG = re.compile(r"""(?<![\w-])--?(?P<k>[A-Za-z][\w\-]*)(?:=|["']\s*,\s*["']|[ ](?!-))(?P<v>[^\s"'`]+)""")
 _HEADER = re.compile(r"""["'`](?P<k>[A-Za-z][\w\-]*):[ ]*(?P<v>[^\s"'`]+)["'`]""")
 _URL = re.compile(r"""[A-Za-z][\w+.\-]*://[^\s:/@"'`?#]*:(?P<v>[^\s/"'`<>]+?)@(?=[\w\[$.{-])""")
-_CONN = re.compile(r"""(?i)(?:(?<=;)|(?<=[=;"'`\s])(?=[^;"'`\s]*;))\s*(?P<k>pwd|password|accountkey|sharedaccesskey|sharedsecret)\s*=\s*(?P<v>[^;"'`\s]+)""")
+_CONN = re.compile(r"""(?i)\b(?P<k>pwd|password|accountkey|sharedaccesskey|sharedsecret)\s*=\s*(?P<v>[^;"'`\s]+)""")
 _SCHEME = re.compile(r"(?i:\b(?:bearer|basic|token|apikey|digest))\s+(?P<v>[A-Za-z0-9+/._~\-]{16,}={0,2})")
 _ISSUED = re.compile(
-    r"""(?x)(?<![\w+/=.\-])(?P<v>
+    r"""(?x)(?<![\w+/.\-])(?P<v>
       (?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])
     | eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]{8,}
     | AIza[\w\-]{30,} | SG\.[\w\-]{16,}\.[\w\-]{16,}
@@ -75,7 +75,7 @@ _ISSUED = re.compile(
     | (?!sha\d|md\d|run|rev|v\d)[a-z][a-z0-9]{1,5}(?:[_\-](?:live|test|prod|stage))?[_\-](?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{16,}
     )(?![\w])"""
 )
-_ISSUED_CLI = re.compile(r"(?<==)(?P<v>(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])|eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]{8,}|[a-z][a-z0-9]{1,5}(?:[_\-](?:live|test|prod|stage))?[_\-](?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{16,}))(?![\w])")
+_RUN = re.compile(r"[\w\-.]{20,}")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:[A-Za-z0-9+/=\s:,\-]|\\[nr])*?)(?=-----END |[^A-Za-z0-9+/=\s:,\-\\]|\\[^nr]|$)")
 _HUNK = re.compile(r"(?m)^(?:---|\+\+\+|@@|diff |index ).*$|^[ +\-\\]")
 _KEY_LINE = re.compile(rf"""^[ \t]*(?:-[ \t]+)?["']?(?P<k>{_NAME})["']?[ \t]*[:=]""")
@@ -207,13 +207,13 @@ def scan(text: str | None, ext: str = "", diff: bool = False) -> list[Found]:
         if not _PLACEHOLDER.fullmatch(m["v"]):
             put(m.start("v"), m.end("v"), "", "url")
     for m in _CONN.finditer(view):
-        if not _PLACEHOLDER.fullmatch(m["v"]):
+        if (view[max(m.start() - 1, 0)] == ";" or view[m.end() : m.end() + 1] == ";") and not _PLACEHOLDER.fullmatch(m["v"]):
             put(m.start("v"), m.end("v"), m["k"], "connection")
     for m in _SCHEME.finditer(view):
         if _random(m["v"]):
             put(m.start("v"), m.end("v"), "", "scheme")
-    for rx in (_ISSUED, _ISSUED_CLI):
-        for m in rx.finditer(view):
+    for run in _RUN.finditer(view):
+        for m in _ISSUED.finditer(view, run.start(), run.end() + 1):
             if not _PLACEHOLDER.fullmatch(m["v"]):
                 put(m.start("v"), m.end("v"), "", "issued")
 
