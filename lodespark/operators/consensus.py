@@ -69,9 +69,9 @@ def supermajority() -> Ruling:
 
 
 def weighted() -> Ruling:
-    """The sign of the weighted mean of signed confidences."""
+    """The sign of the weighted mean of signed confidences; sums are compared to nine places, so their order does not matter."""
     total = F.col("a_w") + F.col("r_w")
-    score = F.coalesce((F.col("a_cw") - F.col("r_cw")) / F.nullif(total, F.lit(0.0)), _zero())
+    score = F.coalesce(F.round(F.col("a_cw") - F.col("r_cw"), 9) / F.nullif(total, F.lit(0.0)), _zero())
     return F.when(score > 0, APPROVE).when(score < 0, REJECT).otherwise(ABSTAIN), F.abs(score), total != 0
 
 
@@ -160,3 +160,19 @@ def best_label(text: Column, labels: tuple = CLAIM_TYPES, default: str = "genera
     for (name, _), n in zip(labels, hits, strict=True):
         out = out.when(n == most, name)
     return out
+
+
+def debate(votes: DataFrame, strategy: str = "majority", quorum: int = 2, claim: str = "claim", persuasive: str = "security_auditor") -> DataFrame:
+    """The votes after dissent was heard: where a voter of the persuasive role dissents, less sure approvals become abstentions.
+
+    An approval that .3 less confidence would bring below .4 abstains with .3; surer ones stay as they
+    were, so a second hearing changes nothing more and the rounds have a closed form. Votes need
+    agent_role. A claim's ruling and whether it is persuaded are one aggregate; votes are joined to it.
+    """
+    ruled = decide(votes, strategy, quorum, claim).select(claim, F.col("verdict").alias("_ruled"), F.col("n_dissent").alias("_d"))
+    sides = votes.where(F.col("agent_role") == persuasive).groupBy(claim).agg(F.max((F.col("verdict") == APPROVE).cast("int")).alias("_pa"), F.max((F.col("verdict") == REJECT).cast("int")).alias("_pr"))
+    heard = ruled.join(sides, claim).where((F.col("_d") > 0) & ((F.col("_pr") == 1) & (F.col("_ruled") != REJECT) | (F.col("_pa") == 1) & (F.col("_ruled") != APPROVE)))
+    j = votes.join(heard.select(claim, F.lit(True).alias("_heard")), claim, "left")
+    soft = F.col("_heard") & (F.col("verdict") == APPROVE) & (F.coalesce("agent_role", F.lit("")) != persuasive) & (F.greatest(F.lit(0.1), F.col("confidence") - 0.3) < 0.4)
+    soft = F.coalesce(soft, F.lit(False))
+    return j.withColumns({"verdict": F.when(soft, ABSTAIN).otherwise(F.col("verdict")), "confidence": F.when(soft, 0.3).otherwise(F.col("confidence"))}).select(*votes.columns)

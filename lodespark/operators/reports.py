@@ -57,3 +57,9 @@ def indented(nodes: DataFrame, scope: str, path: str, label: str) -> DataFrame:
     w = Window.partitionBy(scope).orderBy("_o")
     line = F.concat(F.repeat(F.lit("  "), depth), F.lit("- "), F.coalesce(F.col(label), F.lit("")))
     return nodes.withColumn("_o", order).select(scope, F.row_number().over(w).alias("place"), line.alias("line"))
+
+
+def html_row(cells: list[Column]) -> Column:
+    """A table row; markup within cells is escaped, null cells are empty."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in cells), F.lit("</tr>"))

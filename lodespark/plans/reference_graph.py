@@ -403,7 +403,7 @@ def error_diff(spark: SparkSession, sf: str) -> DataFrame:
     "benchmark_regression",
     """with o as (select distinct record_id, run_id, function_name, total_time_ms, call_count from perf_records where function_name is not null), r as (select distinct run_id, ts from runs),
     h as (select function_name, sum(total_time_ms) filter (ts < '2031-07-01') / nullif(sum(call_count) filter (ts < '2031-07-01'), 0) b, sum(total_time_ms) filter (ts >= '2031-07-01') / nullif(sum(call_count) filter (ts >= '2031-07-01'), 0) c from o join r using (run_id) group by 1)
-    select function_name, round(b, 3) baseline, round(c, 3) "current" from h where c > b * 2""",
+    select function_name, round(b + 1e-9, 3) baseline, round(c + 1e-9, 3) "current" from h where c > b * 2""",
 )
 def benchmark_regression(spark: SparkSession, sf: str) -> DataFrame:
     """Functions whose mean time more than doubled since the first half of the year."""
@@ -412,7 +412,7 @@ def benchmark_regression(spark: SparkSession, sf: str) -> DataFrame:
     late = F.col("run_ts") >= F.lit("2031-07-01").cast("timestamp_ntz")
     mean = lambda c: F.sum(F.when(c, F.col("total_time_ms"))) / F.nullif(F.sum(F.when(c, F.col("call_count"))), F.lit(0))
     h = o.join(r, "run_id").groupBy("function_name").agg(mean(~late).alias("b"), mean(late).alias("c")).where("c > b * 2")
-    return h.select("function_name", F.round("b", 3).alias("baseline"), F.round("c", 3).alias("current"))
+    return h.select("function_name", F.round(F.col("b") + 1e-9, 3).alias("baseline"), F.round(F.col("c") + 1e-9, 3).alias("current"))
 
 
 @CORE.query("intent_vote")

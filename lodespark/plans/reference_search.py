@@ -99,7 +99,7 @@ _RULES = {
         "case when a_w + r_w = 0 then 0 when a_w / (a_w + r_w) >= 2/3 then a_cw / a_w when r_w / (a_w + r_w) >= 2/3 then r_cw / r_w else 0 end",
         "a_w + r_w <> 0",
     ),
-    "weighted": ("case when a_cw - r_cw > 0 then 'APPROVE' when a_cw - r_cw < 0 then 'REJECT' else 'ABSTAIN' end", "case when a_w + r_w = 0 then 0 else abs((a_cw - r_cw) / (a_w + r_w)) end", "a_w + r_w <> 0"),
+    "weighted": ("case when round(a_cw - r_cw, 9) > 0 then 'APPROVE' when round(a_cw - r_cw, 9) < 0 then 'REJECT' else 'ABSTAIN' end", "case when a_w + r_w = 0 then 0 else abs(round(a_cw - r_cw, 9) / (a_w + r_w)) end", "a_w + r_w <> 0"),
     "threshold": ("case when a_over is not null then 'APPROVE' when r_over is not null then 'REJECT' else 'ABSTAIN' end", "coalesce(a_over, r_over, 0)", "true"),
 }
 
@@ -113,14 +113,14 @@ def _votes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _add(strategy: str) -> None:
     v, c, q = _RULES[strategy]
-    sql = f"""select claim, n_votes, verdict, round(confidence, 6)::double confidence, quorum_reached,
+    sql = f"""select claim, n_votes, verdict, round(confidence + 1e-9, 6)::double confidence, quorum_reached,
       (case when n_votes < 2 then 0 when verdict = 'APPROVE' then r_n when verdict = 'REJECT' then a_n else a_n + r_n end)::bigint n_dissent
       from (select *, case when n_votes < 2 then 'ABSTAIN' else {v} end verdict, case when n_votes < 2 then 0 else {c} end confidence, n_votes >= 2 and ({q}) quorum_reached from ({_TALLY}))"""
 
     @CORE.query(f"consensus_{strategy}", sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """Verdict of each order's lines as votes."""
-        return consensus.decide(_votes(spark, sf), strategy).withColumn("confidence", F.round("confidence", 6))
+        return consensus.decide(_votes(spark, sf), strategy).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
 
 
 for _s in _RULES:

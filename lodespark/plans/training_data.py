@@ -15,7 +15,25 @@ def _trees(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "fractal_trees", "tree_id", "tree")
 
 
-@CORE.query("p1_found")
+_P1_SQL = r"""
+with recursive n(tree_id, path, j) as (
+  select distinct tree_id, '0', tree::json from fractal_trees where tree is not null and json_valid(tree) and json_type(tree) = 'OBJECT'
+  union all
+  select tree_id, path || '.' || (i - 1), c from (
+    select tree_id, path, unnest(cs) c, generate_subscripts(cs, 1) i from (
+      select tree_id, path, case json_type(ch) when 'ARRAY' then ch::json[] when 'OBJECT' then [ch] else [] end cs from (
+        select tree_id, path, case when json_type(j->'children') = 'VARCHAR' then (j->>'children')::json else j->'children' end ch from n)))
+  where json_type(c) = 'OBJECT'),
+e as (select tree_id, path, unnest(es) v, generate_subscripts(es, 1) i from (
+  select tree_id, path, case json_type(j->'evidence') when 'ARRAY' then (j->'evidence')::json[] when 'NULL' then [] else [j->'evidence'] end es from n where json_type(j->'evidence') is not null)),
+m as (select n.tree_id, n.path, t.fullkey k, t.type ty from n, json_tree(n.j->'metadata') t where json_type(n.j->'metadata') is not null)
+select tree_id, 'node' row_kind, path row_path, regexp_replace(path, '\.?[0-9]+$', '') parent_path from n
+union select tree_id, 'evidence', path || '#' || (i - 1), path from e where json_type(v) <> 'NULL'
+union select tree_id, 'metadata', path || '@' || ltrim(replace(replace(replace(replace(k, '$', ''), '[', '.'), ']', ''), '"', ''), '.'), path from m where ty not in ('OBJECT', 'ARRAY', 'NULL')
+"""
+
+
+@CORE.query("p1_found", _P1_SQL)
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every node, evidence entry and metadata value with its parent."""
     return dewey.label_trees(_trees(spark, sf), values=False)

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
     """The table ``name`` of ``sf_dir``, with ``columns`` only where some are given."""
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-EMPTY_IS_FINE = {"benchmark_regression", "secret_line_scan", "secret_match_count", "anomaly_rules", "loop_detect", "coverage_gap"}
+EMPTY_IS_FINE = {"benchmark_regression", "secret_line_scan", "secret_match_count", "anomaly_rules", "loop_detect", "coverage_gap", "patched_findings"}
 
 
 def canon(pdf):

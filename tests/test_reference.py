@@ -160,3 +160,45 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_clamped_walk_equals_a_fold(spark):
+    import random
+
+    from lodespark.operators import rules
+
+    rnd = random.Random(3)
+    data = [(rnd.choice("aaab"), i, rnd.random() < 0.3 if i < 200 else rnd.random() < 0.95) for i in range(400)] + [("c", 1, True), (None, 2, True), ("a", 900, None)]
+    got = {r.k: r.rate for r in rules.clamped_walk(spark.createDataFrame(data, "k string, o int, g boolean"), "k", ["o"], "g", block=7).collect()}
+    for k in "ab":
+        x = 1.0
+        for _, _, g in [d for d in data if d[0] == k and d[2] is not None][4:]:
+            x = min(1.0, max(0.1, 0.95 * x + (0.05 if g else -0.05)))
+        assert got[k] == pytest.approx(x)
+    assert set(got) == {"a", "b"}
+
+
+def test_debate_softens_unsure_approvals(spark):
+    votes = [("c", "security_auditor", R, 0.9, 1.0), ("c", "x", A, 0.6, 1.5), ("c", "y", A, 0.9, 0.2), ("d", "x", A, 0.5, 1.0), ("d", "y", A, 0.5, 1.0)]
+    df = spark.createDataFrame(votes, "claim string, agent_role string, verdict string, confidence double, weight double")
+    after = rows(consensus.debate(df))
+    assert ("c", "x", N, 0.3, 1.5) in after and ("c", "y", A, 0.9, 0.2) in after and ("d", "x", A, 0.5, 1.0) in after
+    assert rows(consensus.debate(consensus.debate(df))) == after
+    assert {r.claim: r.verdict for r in consensus.decide(consensus.debate(df)).collect()} == {"c": R, "d": A}
+
+
+def test_rules(spark):
+    from pyspark.sql import functions as F
+
+    from lodespark.operators import rules
+
+    df = spark.createDataFrame([("ab",), ("b",), ("",), (None,)], "t string")
+    rs = [(F.contains("t", F.lit("a")), "A"), (F.contains("t", F.lit("b")), "B")]
+    assert [r[0] for r in df.select(rules.first_rule(rs, "-")).collect()] == ["A", "B", "-", "-"]
+    assert [r[0] for r in df.select(rules.last_rule(rs, "-")).collect()] == ["B", "B", "-", "-"]
+    assert [r[0] for r in df.select(rules.all_rules(rs, 1, ("x", "y"))).collect()] == [["A"], ["B"], ["x", "y"], ["x", "y"]]
+    chain = rules.why_chain(spark.createDataFrame([("Unchecked EVAL",), ("x",)], "issue string"), "issue")
+    mean = {r.issue: round(r.m, 4) for r in chain.groupBy("issue").agg(F.avg("confidence").alias("m")).collect()}
+    assert mean == {"Unchecked EVAL": 0.86, "x": 0.75}
+    s = spark.createDataFrame([("This sentence is surely long enough. What is it? Short. This sentence is surely long enough. Another one that is long enough!",)], "t string")
+    assert s.select(rules.sentences(F.col("t"))).collect()[0][0] == ["This sentence is surely long enough", "Another one that is long enough!"]
