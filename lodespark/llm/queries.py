@@ -14,13 +14,36 @@ LLM = Catalog()
 PS = [0.5, 0.9, 0.95, 0.99]
 
 
-@LLM.query("p2_found")
+def _plain(x: str) -> str:
+    return rf"regexp_replace(lower(upper({x})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+def _fields(divider: str) -> str:
+    """SQL of the sorted fields of a claim whose parts are all fields."""
+    field = r"(?s)^[^\p{L}\p{N}]*([\p{L}_][\p{L}\p{N}_-]*)[\"''`]?\s*[:=]+(.*)$"
+    parts = f"list_filter(regexp_split_to_array(claim, '{divider}'), lambda p: {_plain('p')} <> '')"
+    name, value = (_plain(f"regexp_extract(p, '{field}', {i})") for i in (1, 2))
+    return f"""case when len({parts}) >= 2 and len(list_filter({parts}, lambda p: regexp_matches(p, '{field}'))) = len({parts})
+      then list_sort(list_transform({parts}, lambda p: {name} || chr(30) || {value})) end"""
+
+
+_BODY = r"regexp_extract(claim, '(?s)\{.*\}')"
+_OUTSIDE = _plain(r"regexp_replace(claim, '(?s)\{.*\}', '')")
+_VALUE = _plain(f"json_extract_string({_BODY}, '$.\"' || k || '\"')")
+_P2_SQL = f"""with k as (select report_id, {_plain('claim')} plain, coalesce(
+    case when {_BODY} <> '' and json_valid({_BODY}) and {_OUTSIDE} = '' then list_sort(list_transform(json_keys({_BODY}::json), lambda k: {_plain('k')} || chr(30) || coalesce({_VALUE}, ''))) end,
+    {_fields("[" + chr(92) + "n" + chr(92) + "r;|]+")}, {_fields("[" + chr(92) + "n" + chr(92) + "r;|," + chr(92) + "t]+")}) f from claim_reports where claim is not null and report_id is not null),
+  r as (select report_id, case when f is not null then 'f' || chr(31) || array_to_string(f, chr(31)) else 't' || chr(31) || plain end g from k where plain <> ''),
+  m as (select report_id, min(report_id) over (partition by g) keep_id, count(*) over (partition by g) copies from r) """
+
+
+@LLM.query("p2_found", _P2_SQL + "select keep_id, report_id copy_id from m where keep_id <> report_id")
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each copy of a claim with the claim's smallest report_id."""
     return canonical.pairs(canonical.collapse(table(spark, sf, "claim_reports", "report_id", "claim"), "report_id", "claim"))
 
 
-@LLM.query("p2_claims")
+@LLM.query("p2_claims", _P2_SQL + "select keep_id, copies from m where keep_id = report_id")
 def p2_claims(spark: SparkSession, sf: str) -> DataFrame:
     """One record for each claim with the number of its copies."""
     return canonical.representatives(canonical.collapse(table(spark, sf, "claim_reports", "report_id", "claim"), "report_id", "claim"))
