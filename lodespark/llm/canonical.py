@@ -15,11 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.joins import spread
 from lodespark.storage import stored
 
 #: A key is hot that holds at least this share of all rows, and at least HOT_ROWS of them.
 HOT_SHARE, HOT_ROWS = 1 / 1000, 2_000
 
+#: How a text of fields begins.
+_FIRST = r"^[^\p{L}\p{N}]*[\p{L}_][\p{L}\p{N}_-]*[\"'`]?\s*[:=]"
 _FIELD = r"(?s)^[^\p{L}\p{N}]*([\p{L}_][\p{L}\p{N}_-]*)[\"'`]?\s*[:=]+(.*)$"
 
 
@@ -30,7 +33,7 @@ def letters(c: Column) -> Column:
 
 def _pairs(text: Column, divider: str) -> Column:
     """Sorted name-value pairs where every part of the text is a field and there are two or more; else null."""
-    parts = F.filter(F.split(text, divider), lambda p: letters(p) != "")
+    parts = F.filter(F.split(text, divider), lambda p: p.rlike(r"[\p{L}\p{N}]"))
     fields = F.size(F.filter(parts, lambda p: p.rlike(_FIELD)))
     pairs = F.transform(parts, lambda p: F.concat(letters(F.regexp_extract(p, _FIELD, 1)), F.lit("\x1e"), letters(F.regexp_extract(p, _FIELD, 2))))
     return F.when((F.size(parts) >= 2) & (fields == F.size(parts)), F.array_sort(pairs))
@@ -39,13 +42,15 @@ def _pairs(text: Column, divider: str) -> Column:
 def canonical_key(text: Column) -> Column:
     """16 bytes that texts of the same meaning share; null for null, blank and texts without letter or digit."""
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    outside = letters(F.regexp_replace(text, r"(?s)\{.*\}", ""))
-    obj = F.when((body != "") & (outside == ""), F.from_json(body, "map<string,string>"))
+    alone = ~F.regexp_replace(text, r"(?s)\{.*\}", "").rlike(r"[\p{L}\p{N}]")
+    obj = F.when(F.contains(text, F.lit("{")) & (body != "") & alone, F.from_json(body, "map<string,string>"))
     from_object = F.when(
         F.size(obj) > 0,
         F.array_sort(F.transform(F.map_entries(obj), lambda e: F.concat(letters(e["key"]), F.lit("\x1e"), F.coalesce(letters(e["value"]), F.lit(""))))),
     )
-    fields = F.coalesce(from_object, _pairs(text, r"[\n\r;|]+"), _pairs(text, r"[\n\r;|,\t]+"))
+    # most prose has no two signs of a field, or does not begin like one: it is not cut into parts at all
+    may = (F.length(text) - F.length(F.translate(text, ":=", "")) >= 2) & text.rlike(_FIRST)
+    fields = F.coalesce(from_object, F.when(may, F.coalesce(_pairs(text, r"[\n\r;|]+"), _pairs(text, r"[\n\r;|,\t]+"))))
     plain = letters(text)
     key = F.when(fields.isNotNull(), F.concat(F.lit("f\x1f"), F.concat_ws("\x1f", fields))).otherwise(F.concat(F.lit("t\x1f"), plain))
     return F.when(plain != "", F.unhex(F.md5(key)))
@@ -57,7 +62,9 @@ def collapse(rows: DataFrame, id_col: str, text_col: str, hot_share: float = HOT
     Rows with a null id, and texts that are null, blank or without letter and digit, are left out.
     A row that is repeated with the same id counts once. An empty table gives no rows.
     """
-    keyed = rows.select(F.col(id_col).alias("id"), canonical_key(F.col(text_col)).alias("key")).where("id is not null and key is not null")
+    own = spread(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    said = own.where(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))  # a filter on the key would compute it twice
+    keyed = said.select("id", canonical_key(F.col("text")).alias("key"))
     keyed = stored(keyed, "canonical")  # 24 bytes a row: texts are read and parsed once
     total = keyed.count()
     least = max(hot_rows, int(total * hot_share))
