@@ -12,11 +12,11 @@ BROADCAST_ROWS = 200_000
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a ``right`` that is usually small to a ``left`` that may have hot keys.
 
-    ``right`` is counted first, no further than one row beyond ``max_rows``. Up to ``max_rows`` it
-    is broadcast, so hot keys cost nothing; beyond that a shuffled join is left to Spark, whose
-    adaptive execution splits skewed partitions of ``left``.
+    ``right`` is counted first (partial counts, nothing moves). Up to ``max_rows`` it is broadcast, so
+    hot keys cost nothing; beyond that a shuffled join is left to Spark, whose adaptive execution
+    splits skewed partitions of ``left``.
     """
-    small = right.limit(max_rows + 1).count() <= max_rows
+    small = right.count() <= max_rows
     return left.join(F.broadcast(right) if small else right, on, how)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.joins import lookup
+
 
 def track(presence: DataFrame, key: str, run: str) -> DataFrame:
     """key, run_count, first_run, last_run, status over the runs in which a key is present.
@@ -15,11 +17,9 @@ def track(presence: DataFrame, key: str, run: str) -> DataFrame:
     different ones. Null keys and runs are left out.
     """
     seen = presence.where(F.col(key).isNotNull() & F.col(run).isNotNull()).select(key, run).distinct()
-    runs = seen.select(run).distinct().withColumn("ord", F.row_number().over(Window.orderBy(run)))
-    last = runs.agg(F.max("ord").alias("last_ord"))
-    ordered = seen.join(runs, run)
-    t = ordered.groupBy(key).agg(F.count("*").alias("run_count"), F.min("ord").alias("first_ord"), F.min(run).alias("first_run"), F.max(run).alias("last_run"))
-    t = t.join(F.broadcast(last))
+    runs = seen.select(run).distinct().withColumns({"ord": F.row_number().over(Window.orderBy(run)), "last_ord": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    ordered = lookup(seen, runs, [run], "inner")
+    t = ordered.groupBy(key).agg(F.count("*").alias("run_count"), F.min("ord").alias("first_ord"), F.max("last_ord").alias("last_ord"), F.min(run).alias("first_run"), F.max(run).alias("last_run"))
     status = F.when(F.col("run_count") == F.col("last_ord") - F.col("first_ord") + 1, F.when(F.col("run_count") == 1, "open").otherwise("still_open")).otherwise("potentially_resolved")
     return t.select(key, "run_count", "first_run", "last_run", status.alias("status"))
 

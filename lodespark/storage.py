@@ -51,10 +51,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def release() -> None:
+    """Removes all tables written so far; results that still read them must be done. For sessions that live long."""
+    while _written:
+        spark, path = _written.pop()
+        drop_path(spark, path)
+
+
 @atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone; nothing can be removed any more
-            return
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session is gone; nothing can be removed any more
+        return
