@@ -33,17 +33,19 @@ FIELDS = ("old_content", "new_content", "diff")
 _ENDS = {"password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "secrets", "token", "credential", "credentials", "apikey", "authtoken", "accesskey", "secretkey", "privatekey"}
 _KEY_KINDS = {"api", "access", "secret", "signing", "private", "webhook", "encryption", "auth", "account", "master", "deploy", "service", "admin", "app", "application", "license", "ssh", "hmac", "jwt", "session", "storage", "subscription", "client", "server", "shared"}
 _TAILS = {"set", "args", "arg", "value", "default", "current", "old", "new", "prod", "dev", "live", "text", "string", "plain", "b64", "base64"}
+_NOTES = {"rotate", "rotated", "revoke", "revoked", "leaked", "expired", "stale", "old", "previous"}
 _GENERIC = {"value", "default", "val", "data", "content", "literal", "current"}
 
 _PLACEHOLDER = re.compile(
     r"""(?ix)
     (.)\1*                                                    # one character over and over
     | [x*.\-_#•?]+
-    | .*(?:change[-_ ]?me|replace[-_ ]?me|your[-_ ]|placeholder|redacted|example|dummy|insert[-_ ]|to[-_ ]?do\b|fix[-_ ]?me|not[-_ ]?set|<[^>]*>|\.\.\.).*
+    | (?:.*[^a-z])?(?:change[-_ ]?me|replace[-_ ]?me|placeholder|redacted|example|dummy|fix[-_ ]?me|not[-_ ]?set)(?:[^a-z].*)?
+    | (?:.*[^a-z])?(?:your|insert)[-_ ].* | .*EXAMPLE(?:KEY)?.* | <[^>]*> | .*\.\.\.
     | none | null | nil | true | false | undefined | password | secret | token | test | string | str | optional | required | unset | empty
-    | \$\{?[\w.:\-]+\}?.* | \$\(.* | %\(?[\w]+\)?[s%]? | \{\{.* | \{[\w.]*\} | .*\$\{[^}]*\}.* | .*\{\{[^}]*\}\}.*
+    | \$[A-Za-z_]*\b_?[A-Z_]{2,} | \$\(.* | %\(\w+\)s | %[A-Za-z_]+% | \{\{.* | \{[\w.]*\} | .*\$\{[^}]*\}.* | .*\{\{[^}]*\}\}.*
     | (?:vault|env|ssm|secretsmanager|keyring|file|ref|op|gcp|aws|arn|azure|sops|enc)(?:[:\[(]|://).*
-    | !\w+.* | (?:process\.env|os\.environ|os\.getenv|config|settings|secrets|env|self|args|opts)[.\[(].*
+    | !(?:vault|secret|env|ref|sub|getatt|include|encrypted)\b.* | (?:process\.env|os\.environ|os\.getenv|config|settings|secrets|env|self|args|opts)[.\[(].*
     | (?:sha|md)\d+[:\-].* | (?:urn|mailto):.*
     """
 )
@@ -104,6 +106,9 @@ def names_credential(name: str) -> bool:
     return words[-1] in _ENDS and not (len(words) > 1 and words[-2] in ("public", "next", "no"))
 
 
+_PART = re.compile(r"[^\"'`\n]+")
+
+
 def credential_shape(value: str, bare: bool = False) -> bool:
     """Whether a value under a credential's name can be one. Without quotes it must also show a digit or sign."""
     if len(value) < 6 or any(c.isspace() for c in value) or _PLACEHOLDER.fullmatch(value):
@@ -196,7 +201,8 @@ def scan(text: str | None, ext: str = "", diff: bool = False) -> list[Found]:
         if m["mark"] or ext in BARE_FORMATS:
             over = key_path(view, m.start("k"), ext) if key.lower() in _GENERIC else ()
             value = m["v"].rstrip(",;")
-            if (names_credential(key) or over and names_credential(over[-1])) and credential_shape(value, bare=True):
+            noted = bool(m["mark"]) and key.lower() in _NOTES
+            if (names_credential(key) or noted or over and names_credential(over[-1])) and credential_shape(value, bare=True):
                 put(m.start("v"), m.start("v") + len(value), key, "bare")
     for rx, kind in ((_SAID, "said"), (_FLAG, "flag"), (_HEADER, "header")):
         for m in rx.finditer(view):
@@ -242,6 +248,25 @@ def redact(text: str | None, found: list[Found], diff: bool = False) -> str | No
     return "".join([*out, text[at:]])
 
 
+def scan_patch(old: str | None, new: str | None, diff: str | None, ext: str) -> dict[str, list[Found]]:
+    """Credentials of the three fields of a patch. A value that the contents show is one in the diff too, where its key may be cut off."""
+    out = {"old_content": scan(old, ext), "new_content": scan(new, ext), "diff": scan(diff, ext, diff=True)}
+    if diff:
+        shown = {_PART.match(text, f.start, f.end)[0] for text, fs in ((old, out["old_content"]), (new, out["new_content"])) for f in fs if f.kind != "private key"}
+        more = []
+        for value in shown:
+            at = diff.find(value)
+            while at >= 0:
+                end = at + len(value)
+                alone = not (diff[at - 1 : at].isalnum() or diff[end : end + 1].isalnum())
+                if len(value) >= 6 and alone and not any(f.start < end and at < f.end for f in out["diff"]):
+                    more.append(Found(at, end, "", "shown"))
+                at = diff.find(value, end)
+        if more:
+            out["diff"] = sorted([*out["diff"], *more], key=lambda f: f.start)
+    return out
+
+
 def find(patches: DataFrame) -> DataFrame:
     """patch_id, field_name, line_no, byte_start, byte_end, key_path, kind of every value; repeated rows repeat.
 
@@ -252,11 +277,11 @@ def find(patches: DataFrame) -> DataFrame:
         for batch in batches:
             ids, take, cols = batch.column(0), [], [[] for _ in range(6)]
             for i in range(batch.num_rows):
-                ext = _ext(batch.column(1)[i].as_py())
-                for k, field in enumerate(FIELDS):
-                    text = batch.column(2 + k)[i].as_py()
+                texts = [batch.column(2 + k)[i].as_py() for k in range(len(FIELDS))]
+                found = scan_patch(*texts, _ext(batch.column(1)[i].as_py()))
+                for field, text in zip(FIELDS, texts, strict=True):
                     line = byte = seen = 0
-                    for f in scan(text, ext, field == "diff"):
+                    for f in found[field]:
                         line += text.count("\n", seen, f.start)
                         byte += len(text[seen : f.start].encode())
                         seen = f.start
@@ -275,12 +300,13 @@ def redacted(patches: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exts = [_ext(p.as_py()) for p in batch.column(1)]
-            fields = []
-            for k, field in enumerate(FIELDS):
-                texts = batch.column(2 + k).to_pylist()
-                fields.append(pa.array([redact(t, scan(t, e, field == "diff"), field == "diff") for t, e in zip(texts, exts, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fields], names=["patch_id", "file_path", *FIELDS])
+            clean: list[list] = [[] for _ in FIELDS]
+            for i in range(batch.num_rows):
+                texts = [batch.column(2 + k)[i].as_py() for k in range(len(FIELDS))]
+                found = scan_patch(*texts, _ext(batch.column(1)[i].as_py()))
+                for c, field, text in zip(clean, FIELDS, texts, strict=True):
+                    c.append(redact(text, found[field], field == "diff"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in clean)], names=["patch_id", "file_path", *FIELDS])
 
     return spread(patches.select("patch_id", "file_path", *FIELDS)).mapInArrow(run, "patch_id string, file_path string, old_content string, new_content string, diff string")
 
