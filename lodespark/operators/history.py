@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions.text import words_norm
+from lodespark.storage import stored
 
 #: Seconds of time that one block of an entity's history covers.
 BLOCK_SECONDS = 7 * 86_400
@@ -114,12 +115,14 @@ def versions(updates: DataFrame, runs: DataFrame) -> DataFrame:
     state of a claim always opens one. Empty tables give no rows.
     """
     facts = ["status", "confidence"]
-    states = numbered_and_filled(claim_states(updates, runs), "claim_id", "run_ts", "run_id", facts)
-    earlier = states.withColumn("ord", F.col("ord") + 1)
+    known = stored(claim_states(updates, runs), "reported")  # a few columns a claim and run; all that follows reads only this
+    states = stored(numbered_and_filled(known, "claim_id", "run_ts", "run_id", facts), "states")
+    earlier = states.select("claim_id", (F.col("ord") + 1).alias("ord"), *facts)
     events = (
         difference(earlier, states, ["claim_id", "ord"], facts)
         .where("change in ('inserted', 'changed')")
         .select("claim_id", "ord", "change", "new.block", "new.status", "new.confidence", F.col("new.run_id").alias("from_run"), F.col("new.run_ts").alias("from_ts"))
     )
+    events = stored(events, "events")
     closed = close_by_lead(events, "claim_id", ["ord"], {"to_run": "from_run", "to_ts": "from_ts"})
     return closed.select("claim_id", F.col("ord").alias("from_ord"), "change", "status", "confidence", "from_run", F.coalesce("to_run", F.lit("")).alias("to_run"), "from_ts", "to_ts")
