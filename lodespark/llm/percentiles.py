@@ -29,7 +29,7 @@ HALVINGS = 3
 #: A range with no more values than this is sorted.
 FINISH = 256
 #: Targets (group and percentile) whose ranges are held at once; more are selected in turns.
-TARGETS = 100_000
+TARGETS = 50_000
 #: Values that one task sorts at a time when it makes runs.
 RUN_ROWS = 2_000_000
 
@@ -216,11 +216,11 @@ def _propose(runs: DataFrame, ids: dict, targets: np.ndarray, g_of: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(j, pa.int32()), pa.array(v, pa.float64()), pa.array(w, pa.int64())], names=["t", "j", "v", "w"])
 
     rows = runs.mapInArrow(run, "t long, j int, v double, w long")
-    medians = rows.groupBy("t", "j").agg(F.expr("percentile(v, 0.5d, w)").alias("m"), F.min("v").alias("least"))
-    nearest = rows.join(medians, ["t", "j"]).groupBy("t", "j").agg(F.max(F.when(F.col("v") <= F.col("m"), F.col("v"))).alias("v"))  # a value that occurs
+    # a median between two values is a pivot too: it lies within the range and parts it
+    medians = rows.groupBy("t", "j").agg(F.expr("percentile(v, 0.5d, w)").alias("m"))
     out: dict[int, set[float]] = {}
-    for r in nearest.collect():
-        out.setdefault(r["t"], set()).add(r["v"])
+    for r in medians.collect():  # at most 2 ** HALVINGS - 1 a target, and TARGETS of those
+        out.setdefault(r["t"], set()).add(r["m"])
     return {t: sorted(x) for t, x in out.items()}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodespark.joins import lookup
 from lodespark.llm import canonical, encode, packing, percentiles, reading, secrets
 from lodespark.llm.syntax import files
 from lodespark.plans.catalog import Catalog
@@ -94,7 +95,7 @@ def p9_use(spark: SparkSession, sf: str) -> DataFrame:
     """How full the containers of each capacity are."""
     packed = p9_packing(spark, sf)
     used = packed.groupBy("spec_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return used.join(F.broadcast(table(spark, sf, "pack_specs").limit(1_000)), "spec_id").withColumn("full", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+    return lookup(used, table(spark, sf, "pack_specs").distinct(), ["spec_id"], "inner").withColumn("full", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
 
 
 @LLM.query("p10_found")
