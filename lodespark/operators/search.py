@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.joins import lookup, spread
+from lodespark.storage import stored
+
 # Words that say nothing about a query's subject.
 STOP = ("what", "which", "this", "that", "claim", "evidence", "against")
 #: Query vectors that are sent to the executors at once.
@@ -64,21 +67,22 @@ def bag(text: Column) -> Column:
 
 
 def bow_cosine(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, text_col: str) -> DataFrame:
-    """qid, id, score (3 places): the top_k texts of each query by cosine of word counts; rows without a common word score 0.
+    """qid, id, score (3 places): the top_k texts of each query by cosine of word counts; rows without a common word are not listed.
 
     ``queries``: qid, query; few rows. The vocabulary is the corpus's, so a query's other words do not
     count in its norm. Texts are turned to counts once; only words of queries are joined.
     """
-    words = docs.where(F.col(text_col).isNotNull()).select(id_col, F.explode(bag(F.col(text_col))).alias("word"))
-    tf = words.groupBy(id_col, "word").agg(F.count("*").alias("n"))
-    norms = tf.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     asked = queries.select("qid", F.explode(bag(F.col("query"))).alias("word")).groupBy("qid", "word").agg(F.count("*").alias("m"))
-    vocabulary = tf.join(F.broadcast(asked.select("word").distinct()), "word", "left_semi").select("word").distinct()
-    asked = asked.join(vocabulary, "word", "left_semi")
+    wanted = asked.select("word").distinct().withColumn("wanted", F.lit(True))
+    words = spread(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)).select(id_col, F.explode(bag(F.col(text_col))).alias("word"))
+    tf = lookup(words.groupBy(id_col, "word").agg(F.count("*").alias("n")), wanted, ["word"])
+    hit = F.collect_list(F.when(F.col("wanted"), F.struct("word", "n")))  # no longer than the queries' words
+    texts = tf.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), hit.alias("hits")).where(F.size("hits") > 0)
+    texts = stored(texts, "bags").select(id_col, "norm", F.explode("hits").alias("h")).select(id_col, "norm", "h.*")
+    asked = stored(asked.join(texts.select("word").distinct(), "word", "left_semi"), "asked")  # the vocabulary's words only
     qnorm = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("qnorm"))
-    dots = tf.join(F.broadcast(asked), "word").groupBy("qid", id_col).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    scored = dots.join(norms, id_col).join(F.broadcast(qnorm), "qid")
-    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 3))
+    dots = lookup(texts, asked, ["word"], "inner").groupBy("qid", id_col, "norm").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    scored = lookup(dots, qnorm, ["qid"], "inner").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 3))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), id_col)
     return scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select("qid", id_col, "score")
 
