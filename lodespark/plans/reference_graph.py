@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodespark.operators import consensus, dewey, graph, history, reports
 from lodespark.operators import sources_of_code as code
 from lodespark.plans.catalog import CORE
+from lodespark.plans.reference_search import _hits, _most, _pick
 from lodespark.sources.tables import table
 
 _CALLS = r"([a-z_0-9]+) in [^ ]+ calls ([a-z_0-9]+)"
@@ -415,7 +416,7 @@ def benchmark_regression(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("function_name", F.round(F.col("b") + 1e-9, 3).alias("baseline"), F.round(F.col("c") + 1e-9, 3).alias("current"))
 
 
-@CORE.query("intent_vote")
+@CORE.query("intent_vote", f"select run_id, {_pick} intent from (select *, {_most} m from (select run_id, {_hits} from (select distinct run_id, lower(goal) t, goal from runs)))")
 def intent_vote(spark: SparkSession, sf: str) -> DataFrame:
     """Each run's goal by the words of claim types."""
     r = table(spark, sf, "runs", "run_id", "goal").distinct()

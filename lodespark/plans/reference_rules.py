@@ -147,7 +147,11 @@ def tree_actions(spark: SparkSession, sf: str) -> DataFrame:
     return tree_meta(spark, sf).join(t, "tree_id").select("tree_id", "aggregate", rules.tree_action(F.col("severity"), F.col("aggregate")).alias("action"))
 
 
-@CORE.query("adaptive_rate")
+@CORE.query(
+    "adaptive_rate",
+    """with l as (select user_id, list(case when value > 10 then 1.0::double else -1.0::double end order by ts, event_id)[5:] l from events where user_id is not null and value is not null group by 1)
+    select user_id, len(l)::bigint n, round(list_reduce(list_prepend(1.0::double, l), lambda a, x: greatest(0.1, least(1.0, a * 0.95 + 0.05 * x))), 6) rate from l where len(l) > 0""",
+)
 def adaptive_rate(spark: SparkSession, sf: str) -> DataFrame:
     """each user's success rate as a clamped walk over events."""
     e = table(spark, sf, "events", "event_id", "ts", "user_id", "value").withColumn("good", F.col("value") > 10)

@@ -39,7 +39,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return dewey.label_trees(_trees(spark, sf), values=False)
 
 
-@CORE.query("p1_nodes")
+_P1_WITH = _P1_SQL[: _P1_SQL.index("select tree_id, 'node' row_kind")]
+
+
+@CORE.query(
+    "p1_nodes",
+    _P1_WITH
+    + r"""select distinct tree_id, path node_path, regexp_replace(path, '\.?[0-9]+$', '') parent_path, len(string_split(path, '.'))::int "depth", try_cast(j->>'level' as int) "level",
+  j->>'question' question, j->>'answer' answer, try_cast(j->>'confidence' as double) confidence, j->>'rebuttal' rebuttal from n""",
+)
 def p1_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of nodes."""
     return dewey.node_table(dewey.label_trees(_trees(spark, sf)))
