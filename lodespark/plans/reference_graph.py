@@ -61,11 +61,11 @@ def cycle_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query("trace_call_cycles")
 def trace_call_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """G4 on the graph of traced calls: nodes on a cycle of at most three calls, with its length."""
+    """G4 on the graph of traced calls: nodes on a cycle of calls, with the length of their shortest one."""
     from lodespark.operators import runs
 
     t = table(spark, sf, "traces", "trace_id", "run_id", "phase", "ts", "function_name", "stack_depth")
-    return graph.cycle_nodes(graph.edges(runs.call_edges(t), "caller", "callee"), max_depth=3)
+    return graph.cycle_nodes(graph.edges(runs.call_edges(t), "caller", "callee"))
 
 
 @CORE.query("orphans", f"with {_E} select distinct split_part(function_name, '.', 3) \"function\" from perf_records where function_name is not null and split_part(function_name, '.', 3) not in (select src from e union all select dst from e)")

@@ -117,6 +117,15 @@ def test_dense_cosine_in_blocks_equals_one_block(spark):
     assert search.dense_cosine(df.limit(0), 3, "id", "v").count() == 0
 
 
+def test_traced_cycles_of_any_length(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    data = [(i, "r", "call_enter", i, f"f{i % 7}", i) for i in range(8)]
+    df = spark.createDataFrame(data, "trace_id long, run_id string, phase string, t long, function_name string, stack_depth int")
+    df.selectExpr("trace_id", "run_id", "phase", "timestamp_seconds(t) ts", "function_name", "stack_depth").write.parquet(f"{tmp_path}/traces.parquet")
+    assert rows(entry.queries()["trace_call_cycles"](spark, str(tmp_path))) == [(f"f{i}", 7) for i in range(7)]
+
+
 def test_graph(spark):
     e = graph.edges(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), (None, "a"), ("a", "b")], "s string, t string"), "s", "t")
     assert e.count() == 4
