@@ -87,11 +87,28 @@ def bow_cosine(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, tex
     return scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select("qid", id_col, "score")
 
 
+def best(score: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of each row's top_k columns by whole-numbered score, the first columns of equals; NaN is no score.
+
+    Score and column make one number that no two columns share, so a tie at the cut is no chance.
+    """
+    n = score.shape[1]
+    k = min(top_k, n)
+    if not k:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    key = np.where(np.isnan(score), np.iinfo(np.int64).max // 2, np.arange(n) - np.nan_to_num(score).astype(np.int64) * n)
+    at = np.argpartition(key, k - 1, axis=1)[:, :k].ravel()
+    row = np.repeat(np.arange(len(score)), k)
+    value = score[row, at]
+    ok = ~np.isnan(value)
+    return row[ok], at[ok], value[ok]
+
+
 def dense_cosine(vectors: DataFrame, top_k: int, id_col: str, vec_col: str, every: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
     """qid, id, score: for each vector whose id is divisible by ``every``, its top_k others by cosine over all rows.
 
     Queries go out in blocks of at most ``block``; every task keeps its own best top_k of a query, and
-    these are merged by query. A null vector, or one of zeros, is neither query nor result.
+    these are merged by query, equal scores (4 places) by id in both. A null vector, or one of zeros, is neither query nor result.
     """
     asked = vectors.where((F.col(id_col) % every == 0) & F.col(vec_col).isNotNull()).select(id_col, vec_col)
     spark = vectors.sparkSession
@@ -110,16 +127,14 @@ def dense_cosine(vectors: DataFrame, top_k: int, id_col: str, vec_col: str, ever
                 n = np.linalg.norm(x, axis=1)
                 rows = np.asarray(b.column(0))
                 rows, x = rows[n > 0], (x / np.where(n == 0, 1, n)[:, None])[n > 0]
+                order = np.argsort(rows, kind="stable")
+                rows, x = rows[order], x[order]
                 for lo in range(0, len(names), 1_000):
+                    some = names[lo : lo + 1_000]
                     score = unit[lo : lo + 1_000] @ x.T
-                    score[names[lo : lo + 1_000][:, None] == rows[None, :]] = -np.inf
-                    k = min(top_k + 8, score.shape[1])
-                    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
-                    value = np.take_along_axis(score, at, 1).ravel()
-                    ok = np.isfinite(value)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(names[lo : lo + 1_000], k)[ok]), pa.array(rows[at.ravel()][ok]), pa.array(value[ok])], names=["qid", "id", "score"]
-                    )
+                    score[some[:, None] == rows[None, :]] = np.nan
+                    q, at, value = best(np.where(np.isfinite(score), np.sign(score) * np.floor(np.abs(score) * 1e4 + 0.5), np.nan), top_k)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[q]), pa.array(rows[at]), pa.array(value / 1e4)], names=["qid", "id", "score"])
 
         kind = vectors.schema[id_col].dataType.simpleString()
         return vectors.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, f"qid {kind}, id {kind}, score double")
@@ -137,6 +152,5 @@ def dense_cosine(vectors: DataFrame, top_k: int, id_col: str, vec_col: str, ever
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.withColumn("score", F.round("score", 4))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select("qid", "id", "score")

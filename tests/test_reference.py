@@ -117,6 +117,13 @@ def test_dense_cosine_in_blocks_equals_one_block(spark):
     assert search.dense_cosine(df.limit(0), 3, "id", "v").count() == 0
 
 
+def test_dense_cosine_takes_the_smallest_ids_of_copies(spark):
+    data = [(i, [1.0, 2.0, 3.0]) for i in range(400, 0, -1)] + [(1000 + i, [1.0, -float(i), 0.0]) for i in range(50)]
+    df = spark.createDataFrame(data, "id long, v array<double>").coalesce(1)
+    got = rows(search.dense_cosine(df, 5, "id", "v", every=100).where("qid <= 400"))
+    assert got == sorted(((q, i, 1.0) for q in (100, 200, 300, 400) for i in range(1, 6)), key=repr)
+
+
 def test_traced_cycles_of_any_length(spark, tmp_path):
     import __spark_entry__ as entry
 
