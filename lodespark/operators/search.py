@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from lodespark.storage import stored
 STOP = ("what", "which", "this", "that", "claim", "evidence", "against")
 #: Query vectors that are sent to the executors at once.
 QUERY_BLOCK = 50_000
+#: Query texts that are sent at once, and the queries and texts that are scored as one matrix.
+TEXT_BLOCK, MATRIX = 10_000, 1_000
 
 
 def keywords(query: str) -> list[str]:
@@ -104,6 +108,148 @@ def best(score: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row[ok], at[ok], value[ok]
 
 
+class Asked:
+    """Queries as postings: for each of ``words`` the queries that have it and how often."""
+
+    def __init__(self, ids: Sequence[int], bags: Sequence[dict[str, int]]) -> None:
+        self.ids = np.asarray(ids)
+        self.norm = np.sqrt([float(sum(m * m for m in b.values())) for b in bags])
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for b in bags for w in b))}
+        self.words = list(place)
+        entries = np.asarray([(place[w], q, m) for q, b in enumerate(bags) for w, m in b.items()], np.int64).reshape(-1, 3)
+        entries = entries[np.argsort(entries[:, 0], kind="stable")]
+        self.begin = np.searchsorted(entries[:, 0], np.arange(len(place) + 1))
+        self.query, self.times = entries[:, 1], entries[:, 2]
+
+    def dots(self, doc: np.ndarray, word: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
+        """A row for each query and a column for each of ``docs``: sums of products of counts over the words in both."""
+        reach = self.begin[word + 1] - self.begin[word]
+        of = np.repeat(np.arange(len(word)), reach)
+        at = np.arange(len(of)) + np.repeat(self.begin[word] - (np.cumsum(reach) - reach), reach)
+        sums = np.bincount(self.query[at] * docs + doc[of], n[of] * self.times[at], len(self.ids) * docs)
+        return sums.reshape(len(self.ids), docs)
+
+    def hits(self, score: np.ndarray, rows: np.ndarray, top_k: int, unit: float) -> pa.RecordBatch:
+        """The best texts of each query but itself; ``rows`` ascend, ``score`` is in whole units."""
+        score[self.ids[:, None] == rows[None, :]] = np.nan
+        q, at, value = best(score, top_k)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(rows[at]), pa.array(value / unit)], names=["qid", "id", "score"])
+
+
+def _in_order(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch by its first column, in slices for one matrix."""
+    b = b.take(pc.sort_indices(b.column(0)))
+    for lo in range(0, b.num_rows, MATRIX):
+        yield b.slice(lo, MATRIX)
+
+
+def _each_block(docs: DataFrame, id_col: str, query: Column, bag_of: Callable, run: Callable, block: int, top_k: int) -> DataFrame:
+    """qid, id, score: ``run`` over ``docs`` for blocks of queries, merged by query. The queries are the rows whose id is divisible by 100."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    spark, parts, ids, bags = docs.sparkSession, [], [], []
+
+    def ask() -> DataFrame:
+        sent = spark.sparkContext.broadcast([Asked(ids[lo : lo + MATRIX], bags[lo : lo + MATRIX]) for lo in range(0, len(ids), MATRIX)])
+        return run(sent, f"qid {kind}, id {kind}, score double")
+
+    for row in docs.where(F.col(id_col) % 100 == 0).select(id_col, query.alias("query")).toLocalIterator():
+        ids.append(row[0])
+        bags.append(bag_of(row[1]))
+        if len(ids) == block:
+            parts.append(ask())
+            ids, bags = [], []
+    if ids or not parts:
+        parts.append(ask())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select("qid", F.col("id").alias(id_col), "score")
+
+
+def bow_cosine_all(docs: DataFrame, top_k: int, id_col: str, text_col: str, block: int = TEXT_BLOCK) -> DataFrame:
+    """qid, id, score (3 places): for each text whose id is divisible by 100, its top_k others by cosine of word counts.
+
+    Scores of zero count, so every query has top_k rows if there are as many other texts. Null texts are
+    neither query nor result; a text without words has the score 0. Ids are unique.
+    """
+    docs = docs.where(F.col(text_col).isNotNull())
+
+    def run(sent, schema: str) -> DataFrame:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = [pa.array(a.words, pa.string()) for a in sent.value]
+            for b in batches:
+                for part in _in_order(b):
+                    rows, bags = np.asarray(part.column(0)), part.column(1)
+                    coded = bags.flatten().dictionary_encode()
+                    doc, width = np.repeat(np.arange(len(rows)), np.asarray(pc.list_value_length(bags))), max(1, len(coded.dictionary))
+                    cell, n = np.unique(doc * width + np.asarray(coded.indices), return_counts=True)
+                    doc, code = cell // width, cell % width
+                    norm = np.sqrt(np.bincount(doc, n * n, len(rows)))
+                    for a, words in zip(sent.value, sets, strict=True):
+                        word = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, words), -1), np.int64)[code]
+                        known = word >= 0
+                        dot = a.dots(doc[known], word[known], n[known], len(rows))
+                        size = norm[None, :] * a.norm[:, None]
+                        yield a.hits(np.floor(dot / np.where(size == 0, 1, size) * 1e3 + 0.5), rows, top_k, 1e3)
+
+        return spread(docs.select(id_col, text_col)).select(id_col, bag(F.col(text_col)).alias("bag")).mapInArrow(score, schema)
+
+    return _each_block(docs, id_col, bag(F.col(text_col)), lambda b: dict(Counter(b)), run, block, top_k)
+
+
+def keyword_search_all(docs: DataFrame, top_k: int, id_col: str, text_col: str, path_col: str, block: int = TEXT_BLOCK) -> DataFrame:
+    """qid, id, path, score, snippet: ``keyword_search`` for the text of each row whose id is divisible by 100, over all other rows.
+
+    A word has four letters or more, so a text is searched only for words that begin with four letters
+    it has in a row. Ids are unique.
+    """
+
+    def run(sent, schema: str) -> DataFrame:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begins: list[dict[str, list[tuple[int, str]]]] = []
+            for a in sent.value:
+                begins.append({})
+                for i, w in enumerate(a.words):
+                    begins[-1].setdefault(w[:4], []).append((i, w))
+            for b in batches:
+                for part in _in_order(b):
+                    rows, texts, paths = np.asarray(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist()
+                    fours = [{t[i : i + 4] for t in (text, path) for i in range(len(t) - 3)} for text, path in zip(texts, paths, strict=True)]
+                    for a, begin in zip(sent.value, begins, strict=True):
+                        found = [
+                            (d, i, n)
+                            for d, (text, path, four) in enumerate(zip(texts, paths, fours, strict=True))
+                            for f in four & begin.keys()
+                            for i, w in begin[f]
+                            if (n := text.count(w) + 2 * (w in path))
+                        ]
+                        doc, word, n = np.asarray(found, np.int64).reshape(-1, 3).T
+                        sums = a.dots(doc, word, n, len(rows))
+                        yield a.hits(np.where(sums > 0, sums, np.nan), rows, top_k, 1)
+
+        low = [F.coalesce(F.lower(c), F.lit("")).alias(f"low{i}") for i, c in enumerate((text_col, path_col))]
+        return spread(docs.select(id_col, text_col, path_col)).select(id_col, *low).mapInArrow(score, schema)
+
+    hits = _each_block(docs.where(F.col(text_col).isNotNull()), id_col, F.col(text_col), lambda t: dict.fromkeys(keywords(t), 1), run, block, top_k)
+    hits = stored(hits.withColumn("score", F.col("score").cast("long")), "hits")
+    texts = lookup(docs.select(id_col, path_col, text_col), hits, [id_col], "inner")
+    queries = docs.where(F.col(id_col) % 100 == 0).select(F.col(id_col).alias("qid"), F.col(text_col).alias("_q"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, low, query in zip(*(b.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
+                first = min((p for p in map((low or "").find, keywords(query)) if p >= 0), default=None)
+                start = max(0, (first or 0) - 80)
+                out.append(None if text is None else (text[:220] if first is None else text[start : first + 220]).replace("\n", " ").strip(" "))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.string())], names=["qid", id_col, path_col, "score", "snippet"])
+
+    shown = texts.join(queries, "qid").select("qid", id_col, path_col, "score", text_col, F.lower(text_col).alias("_low"), "_q")
+    return shown.mapInArrow(cut, f"qid {kind}, {id_col} {kind}, {path_col} string, score long, snippet string")
+
+
 def dense_cosine(vectors: DataFrame, top_k: int, id_col: str, vec_col: str, every: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
     """qid, id, score: for each vector whose id is divisible by ``every``, its top_k others by cosine over all rows.
 

@@ -55,6 +55,39 @@ def bow_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.bow_cosine(table(spark, sf, "documents", "doc_id", "text"), asked, 5, "doc_id", "text")
 
 
+_STRIP = ".,()[]{}\"''`-_"
+_stop = ", ".join(f"'{w}'" for w in search.STOP)
+
+
+@CORE.query(
+    "keyword_search_documents",
+    rf"""with l as (select doc_id qid, list_filter(list_transform(regexp_split_to_array(translate(lower(text), ':?', '  '), '\s+'), lambda w: trim(w, '{_STRIP}')), lambda w: length(w) >= 4 and w not in ({_stop})) l
+      from documents where doc_id % 100 = 0 and text is not null),
+    w as (select distinct qid, unnest(list_filter(l, lambda w, i: list_position(l, w) = i)[:8]) w from l),
+    s as (select qid, doc_id, any_value(source) source, any_value(text) text, min(nullif(strpos(lower(text), w), 0)) - 1 f,
+      sum(coalesce((length(lower(text)) - length(replace(lower(text), w, ''))) // length(w), 0) + case when contains(lower(coalesce(source, '')), w) then 2 else 0 end)::bigint score
+      from w join documents on doc_id <> qid group by qid, doc_id),
+    b as (select *, row_number() over (partition by qid order by score desc, doc_id) k from s where score > 0)
+    select qid, doc_id, source, score, trim(replace(case when f is null then substr(text, 1, 220) else substr(text, greatest(0, f - 80) + 1, f + 220 - greatest(0, f - 80)) end, chr(10), ' ')) snippet from b where k <= 10""",
+)
+def keyword_search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """T1, T2 asked with every document whose doc_id is divisible by 100: its top 10 others with snippets."""
+    return search.keyword_search_all(table(spark, sf, "documents", "doc_id", "text", "source"), 10, "doc_id", "text", "source")
+
+
+@CORE.query(
+    "bow_cosine_documents",
+    f"""with w as (select doc_id, unnest({_BAG.format("text")}) word from documents where text is not null), tf as (select doc_id, word, count(*) n from w where word <> '' group by all),
+    norms as (select doc_id, sqrt(sum(n * n)) norm from tf group by 1), d as (select a.doc_id qid, b.doc_id, sum(a.n * b.n) dot from tf a join tf b using (word) where a.doc_id % 100 = 0 group by all),
+    s as (select q.doc_id qid, t.doc_id, coalesce(round(dot / (nt.norm * nq.norm), 3), 0) score from documents q join documents t on q.doc_id <> t.doc_id and q.doc_id % 100 = 0 and q.text is not null and t.text is not null
+      left join d on d.qid = q.doc_id and d.doc_id = t.doc_id left join norms nq on nq.doc_id = q.doc_id left join norms nt on nt.doc_id = t.doc_id)
+    select qid, doc_id, score from (select *, row_number() over (partition by qid order by score desc, doc_id) k from s) where k <= 5""",
+)
+def bow_cosine_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """T3, X6 asked with every document whose doc_id is divisible by 100: its top 5 others; scores of zero are kept."""
+    return search.bow_cosine_all(table(spark, sf, "documents", "doc_id", "text"), 5, "doc_id", "text")
+
+
 @CORE.query(
     "embedding_cosine_topk",
     """with v as (select vec_id, embedding::double[] e from embeddings where embedding is not null),

@@ -124,6 +124,16 @@ def test_dense_cosine_takes_the_smallest_ids_of_copies(spark):
     assert got == sorted(((q, i, 1.0) for q in (100, 200, 300, 400) for i in range(1, 6)), key=repr)
 
 
+def test_searches_with_texts_keep_zeros_and_leave_out_the_query(spark):
+    data = [(100, "eval usage (detected)", "a"), (1, "nothing", "usage.py"), (2, "eval usage. Eval", None), (3, None, "detected"), (200, "", None), (4, "", "x")]
+    df = spark.createDataFrame(data, "id long, text string, path string")
+    for block in (1, 10):
+        got = rows(search.bow_cosine_all(df, 3, "id", "text", block=block))
+        assert got == [(100, 1, 0.0), (100, 2, 0.775), (100, 4, 0.0), (200, 1, 0.0), (200, 2, 0.0), (200, 4, 0.0)]
+        found = rows(search.keyword_search_all(df, 3, "id", "text", "path", block=block))
+        assert found == [(100, 1, "usage.py", 2, "nothing"), (100, 2, None, 3, "eval usage. Eval"), (100, 3, "detected", 2, None)]
+
+
 def test_traced_cycles_of_any_length(spark, tmp_path):
     import __spark_entry__ as entry
 
