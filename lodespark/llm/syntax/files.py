@@ -4,7 +4,9 @@ A file is split into chunks of whole lines. Chunks are summarised by lexer-state
 reduced, and with the state and depth at which each chunk begins its statements are cut and parsed by
 the grammar of the language. A file that fits one chunk goes through all of this where it is read. A
 longer one is spread: its chunks are summarised and parsed in parallel, and only a statement that
-runs over chunks is put together again.
+runs over chunks is put together again; names that statements declare meet by file and name. As in a
+short file, the grammar judges the whole where the lexer finds strings or brackets open (not in JSON
+and TOML, which it reads for certain), and TOML's keys defined twice are found on the whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.joins import lookup, spread
+from lodespark.llm.syntax import script
 from lodespark.llm.syntax.chunks import DEEP, LEXERS, is_whole, state_map, then
 from lodespark.llm.syntax.grammars import GRAMMARS, check_file, cuts_apart, json_member, lines, pieces
 from lodespark.storage import stored
@@ -28,6 +31,7 @@ from lodespark.storage import stored
 CHUNK = 1 << 18
 _CHUNK_SCHEMA = pa.schema([("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("text", pa.string())])
 _MAP_SCHEMA = pa.schema([("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("map", pa.string())])
+_SCRIPTS = ("javascript", "typescript")
 _COLUMN_0 = re.compile(r"(?<=\n)(?=[^\s#])")
 
 
@@ -119,8 +123,9 @@ def _bad_files(cut: DataFrame) -> DataFrame:
             at.append(so_far)
             known = {s: tuple(e) for s, e in json.loads(m).items()}
             so_far = then(so_far, known[so_far[0]]) if so_far[0] in known else (DEEP, "", "", False)
-        deep = so_far[0] == DEEP
-        return pd.DataFrame({"file": pdf["file"], "i": pdf["i"], "state": [a[0] for a in at], "openers": [a[2] for a in at], "whole": is_whole(lang, so_far), "deep": deep})
+        whole = is_whole(lang, so_far)
+        deep = so_far[0] == DEEP or whole == (lang == "toml") and lang != "json"
+        return pd.DataFrame({"file": pdf["file"], "i": pdf["i"], "state": [a[0] for a in at], "openers": [a[2] for a in at], "whole": whole, "deep": deep})
 
     begun = stored(
         cut.mapInArrow(maps, "file string, lang string, i int, map string").groupBy("file").applyInPandas(reduce_, "file string, i int, state string, openers string, whole boolean, deep boolean"), "begun"
@@ -134,12 +139,16 @@ def _bad_files(cut: DataFrame) -> DataFrame:
                 head = parts.pop(0)[1] if parts and parts[0][0] == 0 else ""
                 tail = parts.pop()[1] if parts else None
                 bracket = r["openers"][:1] or r["text"].lstrip()[:1]
-                ok = all(_holds(r["lang"], p, False, False, bracket) for _, p in parts)
-                yield pa.RecordBatch.from_pylist([{"file": r["file"], "lang": r["lang"], "i": r["i"], "bracket": bracket, "head": head, "tail": tail, "ok": ok}], schema=cut_schema)
+                own = _declared(r["lang"], [p for _, p in parts])
+                ok = own is not None and (r["lang"] in _SCRIPTS or all(_holds(r["lang"], p, False, False, bracket) for _, p in parts))
+                row = {"file": r["file"], "lang": r["lang"], "i": r["i"], "bracket": bracket, "head": head, "tail": tail, "ok": ok, "names": list((own or {}).items())}
+                yield pa.RecordBatch.from_pylist([row], schema=cut_schema)
 
-    cut_schema = pa.schema([("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("bracket", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("ok", pa.bool_())])
+    cut_schema = pa.schema(
+        [("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("bracket", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("ok", pa.bool_()), ("names", pa.map_(pa.string(), pa.string()))]
+    )
     parts = stored(
-        cut.join(begun.where("whole"), ["file", "i"]).select("file", "lang", "i", "text", "state", "openers").mapInArrow(statements, "file string, lang string, i int, bracket string, head string, tail string, ok boolean"),
+        cut.join(begun.where("whole"), ["file", "i"]).select("file", "lang", "i", "text", "state", "openers").mapInArrow(statements, "file string, lang string, i int, bracket string, head string, tail string, ok boolean, names map<string, string>"),
         "statements",
     )
     w = Window.partitionBy("file").orderBy("i")
@@ -157,8 +166,14 @@ def _bad_files(cut: DataFrame) -> DataFrame:
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bad = [r["file"] for r in b.to_pylist() if not _holds(r["lang"], r["text"], r["begin"] == -1, r["begin"] == r["last_start"], r["bracket"])]
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["file"])
+            out = []
+            for r in b.to_pylist():
+                own = _declared(r["lang"], [r["text"]])
+                ok = own is not None and (r["lang"] in _SCRIPTS or _holds(r["lang"], r["text"], r["begin"] == -1, r["begin"] == r["last_start"], r["bracket"]))
+                out.append({"file": r["file"], "ok": ok, "names": list((own or {}).items())})
+            yield pa.RecordBatch.from_pylist(out, schema=joined_schema)
+
+    joined_schema = pa.schema([("file", pa.string()), ("ok", pa.bool_()), ("names", pa.map_(pa.string(), pa.string()))])
 
     def whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,10 +182,23 @@ def _bad_files(cut: DataFrame) -> DataFrame:
 
     deep = cut.join(begun.where("deep").select("file").distinct(), "file", "left_semi").groupBy("file", "lang")
     deep = deep.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("text"))
-    found = torn.unionByName(parts.where("not ok").select("file")).unionByName(joined.mapInArrow(assembled, "file string")).unionByName(deep.mapInArrow(whole_files, "file string"))
+    judged = stored(parts.select("file", "ok", "names").unionByName(joined.mapInArrow(assembled, "file string, ok boolean, names map<string, string>")), "judged")
+    twice = judged.select("file", F.explode("names").alias("name", "how")).groupBy("file", "name").agg(F.count("*").alias("n"), F.max(F.col("how") == "let").alias("lexical")).where("n > 1 and lexical")
+    found = torn.unionByName(judged.where("not ok").select("file")).unionByName(twice.select("file")).unionByName(deep.mapInArrow(whole_files, "file string"))
     return found.distinct()
 
 
+def _declared(lang: str, statements: list[str]) -> dict[str, str] | None:
+    """What statements of a script declare at their top, nothing in other languages; None if one is not valid or a name clashes."""
+    declared: dict[str, str] = {}
+    for p in statements if lang in _SCRIPTS else ():
+        own = script.names(p, lang == "typescript") if p.strip() else {}
+        if own is None or script.clash(declared, own):
+            return None
+        declared |= own
+    return declared
+
+
 def _holds(lang: str, text: str, first: bool, last: bool, bracket: str) -> bool:
     if lang != "json":
         check = GRAMMARS[lang]

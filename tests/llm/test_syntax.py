@@ -125,3 +125,29 @@ def test_long_files_equal_short_ones(spark):
         assert rows(files.flags(df, langs, size=size)) == short
     assert sum(r.invalid_files for r in files.rates(files.flags(df, langs)).collect()) == sum(r[3] for r in short)
     assert files.flags(df.limit(0), langs).count() == 0
+
+
+def test_long_files_are_judged_as_whole_as_short_ones(spark):
+    fill = "".join(f"f{i}({i});\n" for i in range(12))
+    keys = "".join(f"k{i} = {i}\n" for i in range(12))
+    texts = [
+        ("js", 'if (x) /"/.test(y);\n' + fill, False),
+        ("ts", fill + "if (x) /[(]/.test(y);\n" + fill, False),
+        ("js", "let a = 1;\n" + fill + "let a = 2;\n", True),
+        ("js", "var a = 1;\n" + fill + "const a = 2;\n" + fill, True),
+        ("js", "class A {\n  x() {\n  }\n}\n" + fill + "let A = 2;\n", True),
+        ("js", "var a = 1;\n" + fill + "var a = 2;\nfunction b() {}\n" + fill, False),
+        ("js", "{ let a = 1; }\n" + fill + "let a = 2;\n", False),
+        ("js", fill + "f(;\n" + fill, True),
+        ("js", fill + "f('\n" + fill, True),
+        ("toml", "a = 1\n" + keys + "a = 2\n", True),
+        ("toml", "[t]\n" + keys + "[u]\n" + keys + "[t]\n", True),
+        ("toml", "a.b = 1\n" + keys + "[a]\nc = 1\n", True),
+        ("toml", "[[t]]\n" + keys + "[[t]]\n" + keys, False),
+        ("toml", keys + "x = [\n", True),
+    ]
+    data = [(f"p{i}", "r", f"x.{ext}", text) for i, (ext, text, _) in enumerate(texts)]
+    df = spark.createDataFrame(data, "patch_id string, repo string, file_path string, new_content string")
+    langs = spark.createDataFrame([("js", "javascript"), ("ts", "typescript"), ("toml", "toml")], "ext string, lang_name string")
+    for size in (20, 60, 10_000):
+        assert {r.patch_id: r.invalid for r in files.flags(df, langs, size=size).collect()} == {f"p{i}": bad for i, (_, _, bad) in enumerate(texts)}
