@@ -2,7 +2,8 @@
 
 A file is split into chunks of whole lines. Chunks are summarised by lexer-state maps, the maps are
 reduced, and with the state and depth at which each chunk begins its statements are cut and parsed by
-the grammar of the language. A file that fits one chunk goes through all of this where it is read. A
+the grammar of the language. A file that fits one chunk needs no maps: it is lexed, cut and parsed
+where it is read, YAML without being cut (the whole file is parsed). A
 longer one is spread: its chunks are summarised and parsed in parallel, and only a statement that
 runs over chunks is put together again; names that statements declare meet by file and name. As in a
 short file, the grammar judges the whole where the lexer finds strings or brackets open (not in JSON
