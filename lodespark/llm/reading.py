@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.joins import lookup, spread
@@ -61,8 +61,8 @@ def sentences(text: str) -> Iterator[list[str]]:
     yield from finished()
 
 
-def word_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_sentences, n_words, words (map of word to count): one row for each row of ``docs``, no shuffle."""
+def word_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scored: Column | None = None) -> DataFrame:
+    """id, n_sentences, n_words, words (map of word to count), scored (true if not given): one row for each row of ``docs``, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +78,13 @@ def word_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     n.append(k)
                     maps.append(list(count.items()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array([sum(c for _, c in m) for m in maps], pa.int64()), pa.array(maps, pa.map_(pa.string(), pa.int64()))],
-                    names=["id", "n_sentences", "n_words", "words"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array([sum(c for _, c in m) for m in maps], pa.int64()), pa.array(maps, pa.map_(pa.string(), pa.int64())), part.column(2)],
+                    names=["id", "n_sentences", "n_words", "words", "scored"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, n_sentences long, n_words long, words map<string,bigint>")
+    asked = F.coalesce(F.lit(True) if scored is None else scored, F.lit(False)).alias("scored")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), asked)).mapInArrow(run, f"id {kind}, n_sentences long, n_words long, words map<string,bigint>, scored boolean")
 
 
 def familiar_words(words: DataFrame, n_docs: int, share: float = FAMILIAR) -> DataFrame:
@@ -92,16 +93,16 @@ def familiar_words(words: DataFrame, n_docs: int, share: float = FAMILIAR) -> Da
     return df.where(F.col("df") >= max(1.0, share * n_docs)).select("word")
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FAMILIAR) -> DataFrame:
-    """id, unfamiliar (share of words, 0..1), sentence_words (mean); both 0 for a text without words.
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FAMILIAR, scored: Column | None = None) -> DataFrame:
+    """id, unfamiliar (share of words, 0..1), sentence_words (mean) of the ``scored`` rows, all if not given; both 0 for a text without words.
 
-    Words are counted once and stored. A document's words stand in one row, so the sum over them
+    The familiar words are those of all rows. Words are counted once and stored. A document's words stand in one row, so the sum over them
     combines before its shuffle; the list of familiar words is sent to the executors, its size being
     bounded (see above). Repeated rows are kept apart by a row number and give equal rows.
     """
-    words = stored(word_table(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "words")
+    words = stored(word_table(docs, id_col, text_col, scored).withColumn("row", F.monotonically_increasing_id()), "words")
     known = familiar_words(words, words.count(), share).withColumn("known", F.lit(1))
-    each = words.select("id", "row", "n_sentences", "n_words", F.explode_outer("words").alias("word", "n"))
+    each = words.where("scored").select("id", "row", "n_sentences", "n_words", F.explode_outer("words").alias("word", "n"))
     sums = each.join(F.broadcast(known), "word", "left").groupBy("id", "row", "n_sentences", "n_words").agg(F.sum(F.when(F.col("known").isNull(), F.col("n"))).alias("strange"))
     return sums.select(
         F.col("id").alias(id_col),
@@ -157,8 +158,8 @@ def english_prose(docs: DataFrame) -> DataFrame:
 
 
 def reading_levels(docs: DataFrame, gradings: DataFrame, least_chars: int = 400) -> DataFrame:
-    """doc_id, unfamiliar, sentence_words, score, band of each English prose document of at least ``least_chars``."""
-    measured = stored(features(english_prose(docs).where(F.col("n_chars") >= least_chars)), "reading")
+    """doc_id, unfamiliar, sentence_words, score, band of each English prose document of at least ``least_chars``; shorter ones count for the familiar words."""
+    measured = stored(features(english_prose(docs), scored=F.col("n_chars") >= least_chars), "reading")
     f = fit_on_gradings(measured, gradings)
     score = F.lit(f.weight * 100) * F.col("unfamiliar") + F.lit(1 - f.weight) * F.col("sentence_words")
     band = F.when(F.col("score") < f.cuts[0], BANDS[0]).when(F.col("score") < f.cuts[1], BANDS[1]).otherwise(BANDS[2])

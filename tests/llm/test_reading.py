@@ -56,3 +56,10 @@ def test_familiar_words_are_counted_over_all_documents(spark):
     assert {r.word for r in reading.familiar_words(words, 100, 0.12).collect()} == {"common", "word"}
     f = {r.doc_id: r.unfamiliar for r in reading.features(docs).collect()}
     assert f[0] == 0.5 and f[1] == 0.0
+
+
+def test_short_documents_count_for_the_familiar_words(spark):
+    docs = spark.createDataFrame([(i, "often here." if i < 10 else "seldom.", "en", "note", 900 if i < 10 else 10) for i in range(100)], "doc_id long, text string, lang string, doc_kind string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, band string, grader string")
+    got = reading.reading_levels(docs, labels).collect()
+    assert {r.doc_id for r in got} == set(range(10)) and {r.unfamiliar for r in got} == {1.0}
