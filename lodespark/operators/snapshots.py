@@ -71,8 +71,9 @@ def changes(rows: DataFrame, attributes: list[str], scope: str = "repo", snapsho
     and are left out; null is a value of an attribute; a scope's first snapshot gives no rows. Repeated
     rows count once.
     """
-    keyed = rows.select(scope, snapshot, load, *attributes, (norm("claim") if key is None else key).alias("claim_key")).where("claim_key is not null and claim_key != ''")
-    held, _ = latest_loads(keyed, scope, snapshot, load)
+    keyed = rows.select(scope, snapshot, load, *attributes, (norm("claim") if key is None else key).alias("claim_key"))
+    held, _ = latest_loads(keyed, scope, snapshot, load)  # a load of blank keys only is a delivery too
+    held = held.where("claim_key is not null and claim_key != ''")
     entry = lambda at, old, new: F.struct(F.col(at).alias(snapshot), old.alias("h_old"), new.alias("h_new"))
     h, none = F.col("h"), F.lit(None).cast("long")
     # a row is probed under its own number and is the index under the next one
@@ -83,8 +84,9 @@ def changes(rows: DataFrame, attributes: list[str], scope: str = "repo", snapsho
 
 def with_values(changed: DataFrame, rows: DataFrame, attributes: list[str], scope: str = "repo", snapshot: str = "snapshot_no", load: str = "load_no") -> DataFrame:
     """Adds structs ``old`` and ``new`` of the attributes to changes; values are fetched for changed keys only."""
-    keyed = rows.select(scope, snapshot, load, *attributes, norm("claim").alias("claim_key")).where("claim_key is not null and claim_key != ''")
+    keyed = rows.select(scope, snapshot, load, *attributes, norm("claim").alias("claim_key"))
     held, _ = latest_loads(keyed, scope, snapshot, load)
+    held = held.where("claim_key is not null and claim_key != ''")
     best = held.withColumn("h", row_hash(attributes)).select(scope, snapshot, "next_no", "claim_key", "h", F.struct(*attributes).alias("v"))
     on = [scope, snapshot, "claim_key"]
     new = best.join(changed.select(on), on, "left_semi").groupBy(*on).agg(F.max_by("v", "h").alias("new"))

@@ -62,3 +62,11 @@ def test_index_advances_snapshot_by_snapshot(spark, tmp_path):
     assert index.advance(make([("a", "x", 1), ("a", "y", 1)])) is None
     assert rows(index.advance(make([("a", "x", 1), ("a", "y", 2), ("a", "z", 1)]))) == [("a", "y", "changed"), ("a", "z", "added")]
     assert rows(index.advance(make([("a", "z", 1)]))) == [("a", "x", "removed"), ("a", "y", "removed")]
+
+
+def test_a_load_of_blank_claims_is_a_delivery(spark):
+    data = [("a", 1, 0, "k", "x", 1), ("a", 2, 0, " ", "x", 1), ("a", 3, 0, "k", "x", 1), ("a", 4, 0, "k", "x", 1), ("a", 4, 1, None, "x", 1)]
+    df = spark.createDataFrame([(*d, 0, 0, "", "") for d in data], SCHEMA)
+    got = snapshots.changes(df, FIELDS)
+    assert rows(got) == brute([(*d, 0, 0, "", "") for d in data]) == [("a", 2, "k", "removed"), ("a", 3, "k", "added"), ("a", 4, "k", "removed")]
+    assert {r.snapshot_no: (r.old is None, r.new is None) for r in snapshots.with_values(got, df, FIELDS).collect()} == {2: (False, True), 3: (True, False), 4: (False, True)}
