@@ -14,6 +14,7 @@ set aside.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -126,31 +127,58 @@ def _random(value: str) -> bool:
     return bool(re.search(r"\d", value) and re.search(r"[A-Za-z]", value)) and not _PLACEHOLDER.fullmatch(value)
 
 
+_TOML_HEADER = re.compile(r"\s*\[\[?([^\]]+)\]")
+
+
+class KeyPaths:
+    """The keys over any place of a text, however far above; the lines are walked once, when first asked."""
+
+    def __init__(self, view: str, ext: str) -> None:
+        self.view, self.ext = view, ext
+        self.starts: list[int] = []
+
+    def _walk(self) -> None:
+        """For each line the line over it: the last before with less indentation, or the last TOML header."""
+        self.over: list[int] = []
+        self.key: list[str | None] = []
+        stack: list[tuple[int, int]] = []  # indentation, line; both ascend
+        header = at = -1
+        for at, line in enumerate(self.view.split("\n")):
+            self.starts.append(self.starts[-1] + before + 1 if at else 0)
+            before = len(line)
+            key = None
+            if self.ext == "toml":
+                self.over.append(header)
+                if m := _TOML_HEADER.match(line):
+                    key, header = m[1].strip(), at
+            elif line.strip():
+                indent = len(line) - len(line.lstrip())
+                while stack and stack[-1][0] >= indent:
+                    stack.pop()
+                self.over.append(stack[-1][1] if stack else -1)
+                stack.append((indent, at))
+                if m := _KEY_LINE.match(line):
+                    key = m["k"]
+            else:
+                self.over.append(-1)
+            self.key.append(key)
+
+    def at(self, place: int) -> tuple[str, ...]:
+        if not self.starts:
+            self._walk()
+        line, path = self.over[bisect_right(self.starts, place) - 1], []
+        while line >= 0:
+            if self.key[line] is not None:
+                path.append(self.key[line])
+            if self.ext == "toml":
+                break
+            line = self.over[line]
+        return tuple(reversed(path))
+
+
 def key_path(view: str, at: int, ext: str) -> tuple[str, ...]:
     """The keys over a place: for TOML the table's header, else those of the lines above with ever less indentation."""
-    start = view.rfind("\n", 0, at) + 1
-    line = view[start:at]
-    indent = len(line) - len(line.lstrip())
-    path: list[str] = []
-    looked = 0
-    while start > 0 and looked < 2_000 and (indent > 0 or ext == "toml"):
-        end = start - 1
-        start = view.rfind("\n", 0, end) + 1
-        above = view[start:end]
-        looked += 1
-        if not above.strip():
-            continue
-        if ext == "toml":
-            if m := re.match(r"\s*\[\[?([^\]]+)\]", above):
-                path.append(m[1].strip())
-                break
-            continue
-        less = len(above) - len(above.lstrip())
-        if less < indent:
-            indent = less
-            if m := _KEY_LINE.match(above):
-                path.append(m["k"])
-    return tuple(reversed(path))
+    return KeyPaths(view, ext).at(at)
 
 
 def _plain(text: str) -> str:
@@ -174,6 +202,7 @@ def scan(text: str | None, ext: str = "", diff: bool = False) -> list[Found]:
         return []
     view = _plain(text) if diff else text
     found: list[Found] = []
+    paths = KeyPaths(view, ext)
     put = lambda s, e, k, kind: found.append(Found(s, e, k, kind))
 
     for m in _PEM.finditer(view):
@@ -186,7 +215,7 @@ def scan(text: str | None, ext: str = "", diff: bool = False) -> list[Found]:
         if not sure and key.lower() not in _GENERIC or not (m := _ASSIGN.match(view, at.start())):
             continue
         if not sure:
-            over = key_path(view, m.start(), ext)
+            over = paths.at(m.start())
             if not over or not names_credential(over[-1]):
                 continue
             key = ".".join((*over, key))
@@ -199,7 +228,7 @@ def scan(text: str | None, ext: str = "", diff: bool = False) -> list[Found]:
     for m in _BARE.finditer(view):
         key = m["k"].strip("\"'")
         if m["mark"] or ext in BARE_FORMATS:
-            over = key_path(view, m.start("k"), ext) if key.lower() in _GENERIC else ()
+            over = paths.at(m.start("k")) if key.lower() in _GENERIC else ()
             value = m["v"].rstrip(",;")
             noted = bool(m["mark"]) and key.lower() in _NOTES
             if (names_credential(key) or noted or over and names_credential(over[-1])) and credential_shape(value, bare=True):
