@@ -121,7 +121,7 @@ j as (select coalesce(a.repo, b.repo) repo, coalesce(a.nxt, b.snapshot_no) snaps
 @CORE.query("p5_found", _P5_SQL + "select repo, snapshot_no, claim_key, change_kind from j where change_kind is not null")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Claims added, removed or changed between consecutive snapshots of each repo."""
-    return snapshots.changes(_snapshots(spark, sf), TRACKED)
+    return snapshots.changes(_snapshots(spark, sf), TRACKED).drop("old", "new")
 
 
 @CORE.query("p5_change_counts", _P5_SQL + "select repo, snapshot_no, change_kind, count(*) n from j where change_kind is not null group by all")
@@ -132,5 +132,16 @@ def p5_change_counts(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.changes(_snapshots(spark, sf), TRACKED).groupBy("repo", "snapshot_no", "change_kind").agg(F.count("*").alias("n"))
 
 
+@CORE.query(
+    "p5_values",
+    _P5_SQL.replace("case when a.claim_key is null", "a.status old_status, b.status new_status, a.run_count::varchar old_count, b.run_count::varchar new_count, case when a.claim_key is null")
+    + "select repo, snapshot_no, claim_key, old_status, new_status, old_count, new_count from j where change_kind = 'changed'",
+)
+def p5_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Status and number of runs of each changed claim, before and after."""
+    changed = snapshots.changes(_snapshots(spark, sf), TRACKED).where("change_kind = 'changed'")
+    return changed.selectExpr("repo", "snapshot_no", "claim_key", "old.status old_status", "new.status new_status", "cast(old.run_count as string) old_count", "cast(new.run_count as string) new_count")
+
+
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "claim_snapshots", "repo", "snapshot_no", "load_no", "claim", *TRACKED)

@@ -1,16 +1,18 @@
 """Where intermediate tables go: the folder that all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-temporary folder of this machine is taken. Tables written here are removed when the driver exits.
+temporary folder of this machine is taken; any other master raises. Tables written here are removed when the driver exits.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -23,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodespark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -51,6 +55,38 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path`` whose tables were written to the end; none where there is no such path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]
+    return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Writes ``df`` to ``path`` in buckets by ``keys`` and reads it back: joins of two such tables on ``keys`` move nothing.
+
+    Bucketed files need a name in the session's catalog while they are written; it is dropped again.
+    """
+    name = f"lodespark_{uuid.uuid4().hex}"
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"drop table {name}")
+    return open_bucketed(df.sparkSession, path, df.schema, keys, buckets)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int) -> DataFrame:
+    """The table of ``write_bucketed``, in any later session."""
+    name = f"lodespark_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by ({', '.join(f'`{k}`' for k in keys)}) into {buckets} buckets location '{path}'")
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # an external table: its files stay
+    return out
+
+
 def release() -> None:
     """Removes all tables written so far; results that still read them must be done. For sessions that live long."""
     while _written:

@@ -40,10 +40,10 @@ def test_changes_equal_a_plain_comparison(spark):
     data = [d for d in data if not (d[0] == "a" and d[1] == 3 and d[2] == 9)]
     df = spark.createDataFrame(data + data[:7], SCHEMA)
     got = snapshots.changes(df, FIELDS)
-    assert rows(got) == brute(data)
-    full = snapshots.with_values(got, df, FIELDS)
-    assert full.count() == len(brute(data))
-    assert all((r.old is None) == (r.change_kind == "added") and (r.new is None) == (r.change_kind == "removed") for r in full.collect())
+    assert rows(got.drop("old", "new")) == brute(data)
+    changed = [r for r in got.collect() if r.change_kind == "changed"]
+    assert changed and all(tuple(r.old) != tuple(r.new) for r in changed)
+    assert all(r.old is None and r.new is None for r in got.collect() if r.change_kind != "changed")
 
 
 def test_empty(spark):
@@ -52,7 +52,8 @@ def test_empty(spark):
 
 def test_null_and_empty_text_are_different_values(spark):
     df = spark.createDataFrame([("r", 1, 1, "k", None, 1, 0, 0, "", ""), ("r", 2, 1, "k", "", 1, 0, 0, "", "")], SCHEMA)
-    assert rows(snapshots.changes(df, FIELDS)) == [("r", 2, "k", "changed")]
+    got = snapshots.changes(df, FIELDS).collect()
+    assert [(r.repo, r.snapshot_no, r.claim_key, r.change_kind, tuple(r.old), tuple(r.new)) for r in got] == [("r", 2, "k", "changed", (None, 1), ("", 1))]
 
 
 def test_index_advances_snapshot_by_snapshot(spark, tmp_path):
@@ -67,6 +68,35 @@ def test_index_advances_snapshot_by_snapshot(spark, tmp_path):
 def test_a_load_of_blank_claims_is_a_delivery(spark):
     data = [("a", 1, 0, "k", "x", 1), ("a", 2, 0, " ", "x", 1), ("a", 3, 0, "k", "x", 1), ("a", 4, 0, "k", "x", 1), ("a", 4, 1, None, "x", 1)]
     df = spark.createDataFrame([(*d, 0, 0, "", "") for d in data], SCHEMA)
-    got = snapshots.changes(df, FIELDS)
+    got = snapshots.changes(df, FIELDS).drop("old", "new")
     assert rows(got) == brute([(*d, 0, 0, "", "") for d in data]) == [("a", 2, "k", "removed"), ("a", 3, "k", "added"), ("a", 4, "k", "removed")]
-    assert {r.snapshot_no: (r.old is None, r.new is None) for r in snapshots.with_values(got, df, FIELDS).collect()} == {2: (False, True), 3: (True, False), 4: (False, True)}
+
+
+def _snap(spark, data):
+    return spark.createDataFrame(data, "repo string, k string, v int")
+
+
+def test_the_index_lies_still_while_it_is_probed(spark, tmp_path):
+    index = snapshots.SnapshotIndex(spark, str(tmp_path / "index"), "repo", "k", ["v"], buckets=4)
+    index.advance(_snap(spark, [("a", str(i), i) for i in range(50)]))
+    old = index.current()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        index.generation = 0
+        new = snapshots.write_bucketed(snapshots.hash_index(_snap(spark, [("a", "1", 1)]).selectExpr("*", "false as ended"), "repo", "k", ["v"]), str(tmp_path / "other"), ["repo", "k"], 4)
+        plan = snapshots.probe(old, new, ["repo", "k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_new_session_goes_on_with_the_index(spark, tmp_path):
+    at = str(tmp_path / "index")
+    make = lambda: snapshots.SnapshotIndex(spark, at, "repo", "k", ["v"], buckets=3)
+    assert make().advance(_snap(spark, [("a", "x", 1), (None, "x", 1), ("a", None, 1)])) is None
+    assert rows(make().advance(_snap(spark, [("a", "x", 2), ("b", "x", 1)]))) == [("a", "x", "changed"), ("b", "x", "added")]
+    again = make()
+    assert again.generation == 2
+    (tmp_path / "index" / "changes-2" / "_SUCCESS").unlink()  # as if the session had died before the changes were whole
+    assert make().generation == 0 or make().generation == 1
+    assert rows(again.advance(_snap(spark, [("b", "x", 1)]))) == [("a", "x", "removed")]
