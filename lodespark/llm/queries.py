@@ -61,21 +61,18 @@ select kind, "key", n, p, v "value" from r, (select unnest([0.5::double, 0.9::do
 
 @LLM.query("p6_percentiles", _P6_SQL)
 def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact percentiles of duration_ms by phase and by function_name."""
-    return percentiles.trace_percentiles(table(spark, sf, "traces", "trace_id", "phase", "function_name", "duration_ms"), PS)
+    """Exact percentiles of duration_ms by phase and by function_name, from the runs of pieces, one a quarter; each trace_id in one piece only."""
+    return percentiles.trace_percentiles(_traces(spark, sf), PS, piece=percentiles.quarter())
 
 
 @LLM.query("p6_bounded")
 def p6_bounded(spark: SparkSession, sf: str) -> DataFrame:
     """The same within one percent, from pieces whose size is bounded: one for each quarter, combined by union."""
-    from lodespark.storage import stored
-
-    traces = table(spark, sf, "traces", "trace_id", "phase", "function_name", "duration_ms", "ts")
-    pieces = [stored(percentiles.summarise(traces.where(F.quarter("ts") == q), error=0.01), f"runs-q{q}") for q in (1, 2, 3, 4)]
-    rest = stored(percentiles.summarise(traces.where("ts is null"), error=0.01), "runs-undated")
-    for p in pieces:
-        rest = rest.unionByName(p)
-    return percentiles.percentiles(rest, PS)
+    return percentiles.trace_percentiles(_traces(spark, sf), PS, error=0.01, piece=percentiles.quarter())
+
+
+def _traces(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "traces", "trace_id", "phase", "function_name", "duration_ms", "ts")
 
 
 @LLM.query("p8_ids")

@@ -51,6 +51,22 @@ def test_pieces_combine(spark):
     assert rows(percentiles.percentiles(a.unionByName(b), PS)) == brute(d)
 
 
+def test_an_id_redelivered_in_another_piece_counts_once(spark):
+    d = data(900, 5)
+    again = [(*x[:4], 1, x[5]) for x in d[:200]]  # the code column serves as the piece
+    runs = stored(percentiles.summarise(spark.createDataFrame(d + again, SCHEMA).repartition(5), piece=F.col("code")), "runs")
+    assert rows(percentiles.percentiles(runs, PS, finish=20)) == brute(d)
+    first = runs.where("piece = 0").agg(F.sum("n")).collect()[0][0]
+    assert first == len({x[0] for x in d if x[0] is not None and x[3] is not None and math.isfinite(x[3]) and x[3] >= 0})
+
+
+def test_each_round_reads_less(spark):
+    d = data(4_000, 6)
+    runs, kept = stored(percentiles.summarise(spark.createDataFrame(d, SCHEMA).repartition(6)), "runs"), []
+    assert rows(percentiles.percentiles(runs, PS, finish=2, log=kept)) == brute(d)
+    assert len(kept) > 1 and kept[0] < 4_000 and all(b < a for a, b in zip(kept, kept[1:], strict=False))
+
+
 def test_bounded_error(spark):
     d = data(1_500, 3)
     runs = stored(percentiles.summarise(spark.createDataFrame(d, SCHEMA), error=0.02), "runs")
