@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodespark.llm import bpe, packing
 from lodespark.storage import stored
@@ -73,5 +74,32 @@ def test_documents(spark):
     got = packing.pack_documents(docs, specs).collect()
     n = len(bpe.encoder(bpe.default_path()).encode("the report " * 50))
     assert sum(r.n_tokens for r in got if r.doc_id == 1) == n and {r.doc_id for r in got} == {1, 2, 3, 4}
-    keys = packing.place([bpe.encoder(bpe.default_path()).encode(t) for t in ("the report", "the report", "")])
-    assert keys[0] == keys[1]
+    where = packing.project([bpe.encoder(bpe.default_path()).encode(t) for t in ("the report", "the report", "")])
+    assert (where[0] == where[1]).all() and not where[2].any()
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(bpe.default_path()) or not os.path.isdir(SF), reason="no vocabulary files or no tables")
+def test_containers_hold_neighbours_and_are_full(spark):
+    places = stored(packing.placed(stored(packing.measured(spark.read.parquet(f"{SF}/documents.parquet")), "measured")), "places")
+    at = {r.id: i for i, r in enumerate(places.orderBy("place", F.xxhash64("id")).collect())}
+    tokens = places.agg(F.sum("n_tokens")).collect()[0][0]
+    capacities = {1: 512, 2: 2048, 3: 4096}
+    ends = {}
+    for r in packing.fill(places, capacities).collect():
+        if r.container_id is not None and r.n_tokens:
+            ends.setdefault((r.spec_id, r.container_id), []).append(at[r.id])
+    for spec, cap in capacities.items():
+        spans = [max(v) - min(v) for (s, _), v in ends.items() if s == spec]
+        assert sum(spans) / len(spans) < 0.02 * len(at)
+        assert tokens / (cap * len(spans)) > 0.98
+
+
+def test_more_specs_than_one_pass_takes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPECS", 2)
+    docs = spark.createDataFrame([(1, "the report"), (2, "a note")], "doc_id long, text string")
+    specs = spark.createDataFrame([(i, 10 + i) for i in range(5)] * 2, "spec_id int, capacity_tokens int")
+    assert sorted((r.spec_id, r.doc_id) for r in packing.pack_documents(docs, specs).collect()) == [(s, d) for s in range(5) for d in (1, 2)]
+    assert packing.pack_documents(docs, specs.limit(0)).count() == 0
