@@ -11,7 +11,7 @@ next chunk's brackets can't be told apart; such a file is read as one chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import re
 
@@ -295,6 +295,16 @@ def compose(a: dict[str, Entry], b: dict[str, Entry]) -> dict[str, Entry]:
     return {s: then(e, b[e[0]]) if e[0] in b else (DEEP, "", "", e[3]) for s, e in a.items()}
 
 
+def prefixes(start: str | Entry, maps: Iterable[dict[str, Entry]]) -> tuple[list[Entry], Entry]:
+    """What holds where each of the chunks in a row begins, and at the end of the last."""
+    so_far: Entry = (start, "", "", False) if isinstance(start, str) else start
+    at = []
+    for m in maps:
+        at.append(so_far)
+        so_far = then(so_far, m[so_far[0]]) if so_far[0] in m else (DEEP, "", "", so_far[3])
+    return at, so_far
+
+
 def is_whole(lang: str, e: Entry) -> bool:
     """Whether a file with this summary has every string ended and every bracket closed."""
     done = {"python": ("code",), "json": ("code",), "toml": ("code",), "yaml": ("block",)}.get(lang, ("code/r", "code/d"))

@@ -1,13 +1,16 @@
 """Which files are not valid source in the language their path claims.
 
-A file is split into chunks of whole lines. Chunks are summarised by lexer-state maps, the maps are
-reduced, and with the state and depth at which each chunk begins its statements are cut and parsed by
-the grammar of the language. A file that fits one chunk needs no maps: it is lexed, cut and parsed
-where it is read, YAML without being cut (the whole file is parsed). A
-longer one is spread: its chunks are summarised and parsed in parallel, and only a statement that
-runs over chunks is put together again; names that statements declare meet by file and name. As in a
-short file, the grammar judges the whole where the lexer finds strings or brackets open (not in JSON
-and TOML, which it reads for certain), and TOML's keys defined twice are found on the whole.
+A file is split into chunks of whole lines. Each chunk is summarised by a map from the lexer's states to
+the state and open brackets at its end; maps are composed, in any grouping, and tell in which state and
+at which depth each chunk begins. With that its statements are cut and parsed by the grammar of the
+language, those that run over chunks after their parts were joined; what statements say of each other
+(names declared twice, places of imports) meets by file.
+
+A file up to ``CHUNK`` characters goes through all of this where it is read, in chunks of
+``grammars.PIECE``; the chunks of a longer one are spread over tasks, their maps reduced block by block,
+and verdicts are the same. Where the lexer finds strings or brackets open, the grammar judges the whole
+(not in JSON and TOML, which the lexer reads for certain); so it does YAML of several documents, and
+TOML's keys defined twice.
 """
 
 from __future__ import annotations
@@ -15,25 +18,24 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-import regex as re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.joins import lookup, spread
 from lodespark.llm.syntax import script
-from lodespark.llm.syntax.chunks import DEEP, LEXERS, is_whole, state_map, then
-from lodespark.llm.syntax.grammars import GRAMMARS, check_file, cuts_apart, json_member, lines, pieces
+from lodespark.llm.syntax.chunks import DEEP, LEXERS, Entry, compose, is_whole, prefixes, state_map
+from lodespark.llm.syntax.grammars import GRAMMARS, check_file, chunks_of, cuts_apart, future_order, json_member, pieces
 from lodespark.storage import stored
 
-#: Characters of a chunk; it ends with the line in which it reaches them.
-CHUNK = 1 << 18
+#: Characters of a chunk of a file that is spread over tasks, and chunks whose maps are composed by one task.
+CHUNK, BLOCK = 1 << 18, 256
 _CHUNK_SCHEMA = pa.schema([("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("text", pa.string())])
 _MAP_SCHEMA = pa.schema([("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("map", pa.string())])
 _SCRIPTS = ("javascript", "typescript")
-_COLUMN_0 = re.compile(r"(?<=\n)(?=[^\s#])")
 
 
 def languages_of(patches: DataFrame, languages: DataFrame, path_col: str = "file_path") -> DataFrame:
@@ -43,26 +45,6 @@ def languages_of(patches: DataFrame, languages: DataFrame, path_col: str = "file
     return lookup(patches.withColumn("_ext", ext), known, ["_ext"], "inner").drop("_ext")
 
 
-def chunks_of(lang: str, text: str, size: int = CHUNK) -> list[str]:
-    """The text, its line ends made one kind, cut after lines; YAML only where a line begins at column 0."""
-    text = lines(text)
-    out, at = [], 0
-    while at < len(text):
-        end = at + size
-        if end >= len(text):
-            end = len(text)
-        elif lang == "yaml":
-            m = _COLUMN_0.search(text, end)
-            end = m.start() if m else len(text)
-        else:
-            end = text.find("\n", end) + 1 or len(text)
-            while end < len(text) and text[end - 2] == "\\":
-                end = text.find("\n", end) + 1 or len(text)
-        out.append(text[at:end])
-        at = end
-    return out or [""]
-
-
 def flags(patches: DataFrame, languages: DataFrame, size: int = CHUNK, keep: tuple[str, ...] = ("patch_id", "repo")) -> DataFrame:
     """keep, lang_name, invalid of each row whose new_content is not null and whose extension has a language.
 
@@ -114,23 +96,30 @@ def _bad_files(cut: DataFrame) -> DataFrame:
                     known = {s: (DEEP, "", "", False) for s in known}
                 yield pa.RecordBatch.from_pylist([{"file": row["file"], "lang": row["lang"], "i": row["i"], "map": json.dumps(known)}], schema=_MAP_SCHEMA)
 
-    def reduce_(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The prefixes of one file's maps; a map is some hundred bytes, a cell has at most some thousand chunks."""
-        pdf = pdf.sort_values("i")
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The map of a block of chunks; composing is associative, so blocks are reduced apart."""
+        whole = reduce(compose, (_map(m) for m in pdf.sort_values("i")["map"]))
+        return pd.DataFrame({"file": pdf["file"].iloc[:1], "lang": pdf["lang"].iloc[:1], "b": pdf["b"].iloc[:1], "map": [json.dumps(whole)]})
+
+    def of_file(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What holds where each block of a file begins, from one map a block."""
+        pdf = pdf.sort_values("b")
         lang = pdf["lang"].iloc[0]
-        so_far = (LEXERS[lang][1][0], "", "", False)
-        at = []
-        for m in pdf["map"]:
-            at.append(so_far)
-            known = {s: tuple(e) for s, e in json.loads(m).items()}
-            so_far = then(so_far, known[so_far[0]]) if so_far[0] in known else (DEEP, "", "", False)
-        whole = is_whole(lang, so_far)
-        deep = so_far[0] == DEEP or whole == (lang == "toml") and lang != "json"
-        return pd.DataFrame({"file": pdf["file"], "i": pdf["i"], "state": [a[0] for a in at], "openers": [a[2] for a in at], "whole": whole, "deep": deep})
-
-    begun = stored(
-        cut.mapInArrow(maps, "file string, lang string, i int, map string").groupBy("file").applyInPandas(reduce_, "file string, i int, state string, openers string, whole boolean, deep boolean"), "begun"
-    )
+        at, end = prefixes(LEXERS[lang][1][0], map(_map, pdf["map"]))
+        whole = is_whole(lang, end)
+        deep = end[0] == DEEP or whole == (lang == "toml") and lang != "json"
+        return pd.DataFrame({"file": pdf["file"], "b": pdf["b"], "before": [json.dumps(x) for x in at], "whole": whole, "deep": deep})
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What holds where each chunk of a block begins."""
+        pdf = pdf.sort_values("i")
+        at, _ = prefixes(tuple(json.loads(pdf["before"].iloc[0])), map(_map, pdf["map"]))
+        return pd.DataFrame({"file": pdf["file"], "i": pdf["i"], "state": [x[0] for x in at], "openers": [x[2] for x in at], "whole": pdf["whole"], "deep": pdf["deep"]})
+
+    mapped = stored(cut.mapInArrow(maps, "file string, lang string, i int, map string").withColumn("b", (F.col("i") / BLOCK).cast("int")), "maps")
+    blocks = mapped.groupBy("file", "lang", "b").applyInPandas(of_block, "file string, lang string, b int, map string")
+    heads_ = blocks.groupBy("file").applyInPandas(of_file, "file string, b int, before string, whole boolean, deep boolean")
+    begun = stored(mapped.join(heads_, ["file", "b"]).groupBy("file", "b").applyInPandas(within, "file string, i int, state string, openers string, whole boolean, deep boolean"), "begun")
     torn = begun.where("not whole and not deep").select("file").distinct()
 
     def statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +131,14 @@ def _bad_files(cut: DataFrame) -> DataFrame:
                 bracket = r["openers"][:1] or r["text"].lstrip()[:1]
                 own = _declared(r["lang"], [p for _, p in parts])
                 ok = own is not None and (r["lang"] in _SCRIPTS or all(_holds(r["lang"], p, False, False, bracket) for _, p in parts))
-                row = {"file": r["file"], "lang": r["lang"], "i": r["i"], "bracket": bracket, "head": head, "tail": tail, "ok": ok, "names": list((own or {}).items())}
+                row = {"file": r["file"], "lang": r["lang"], "i": r["i"], "bracket": bracket, "head": head, "tail": tail, "ok": ok, "names": list((own or {}).items()), **_places(r["lang"], [p for _, p in parts], r["i"] << 32)}
                 yield pa.RecordBatch.from_pylist([row], schema=cut_schema)
 
     cut_schema = pa.schema(
-        [("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("bracket", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("ok", pa.bool_()), ("names", pa.map_(pa.string(), pa.string()))]
+        [("file", pa.string()), ("lang", pa.string()), ("i", pa.int32()), ("bracket", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("ok", pa.bool_()), ("names", pa.map_(pa.string(), pa.string())), *_PLACES]
     )
     parts = stored(
-        cut.join(begun.where("whole"), ["file", "i"]).select("file", "lang", "i", "text", "state", "openers").mapInArrow(statements, "file string, lang string, i int, bracket string, head string, tail string, ok boolean, names map<string, string>"),
+        cut.join(begun.where("whole"), ["file", "i"]).select("file", "lang", "i", "text", "state", "openers").mapInArrow(statements, "file string, lang string, i int, bracket string, head string, tail string, ok boolean, names map<string, string>, other long, future long"),
         "statements",
     )
     w = Window.partitionBy("file").orderBy("i")
@@ -171,10 +160,10 @@ def _bad_files(cut: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 own = _declared(r["lang"], [r["text"]])
                 ok = own is not None and (r["lang"] in _SCRIPTS or _holds(r["lang"], r["text"], r["begin"] == -1, r["begin"] == r["last_start"], r["bracket"]))
-                out.append({"file": r["file"], "ok": ok, "names": list((own or {}).items())})
+                out.append({"file": r["file"], "ok": ok, "names": list((own or {}).items()), **_places(r["lang"], [r["text"]], (max(r["begin"], 0) << 32) + (1 << 31) * (r["begin"] >= 0))})
             yield pa.RecordBatch.from_pylist(out, schema=joined_schema)
 
-    joined_schema = pa.schema([("file", pa.string()), ("ok", pa.bool_()), ("names", pa.map_(pa.string(), pa.string()))])
+    joined_schema = pa.schema([("file", pa.string()), ("ok", pa.bool_()), ("names", pa.map_(pa.string(), pa.string())), *_PLACES])
 
     def whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,12 +172,17 @@ def _bad_files(cut: DataFrame) -> DataFrame:
 
     deep = cut.join(begun.where("deep").select("file").distinct(), "file", "left_semi").groupBy("file", "lang")
     deep = deep.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("text"))
-    judged = stored(parts.select("file", "ok", "names").unionByName(joined.mapInArrow(assembled, "file string, ok boolean, names map<string, string>")), "judged")
+    judged = stored(parts.select("file", "ok", "names", "other", "future").unionByName(joined.mapInArrow(assembled, "file string, ok boolean, names map<string, string>, other long, future long")), "judged")
     twice = judged.select("file", F.explode("names").alias("name", "how")).groupBy("file", "name").agg(F.count("*").alias("n"), F.max(F.col("how") == "let").alias("lexical")).where("n > 1 and lexical")
-    found = torn.unionByName(judged.where("not ok").select("file")).unionByName(twice.select("file")).unionByName(deep.mapInArrow(whole_files, "file string"))
+    late = judged.groupBy("file").agg(F.min("other").alias("other"), F.max("future").alias("future")).where("other < future").select("file")
+    found = torn.unionByName(late).unionByName(judged.where("not ok").select("file")).unionByName(twice.select("file")).unionByName(deep.mapInArrow(whole_files, "file string"))
     return found.distinct()
 
 
+def _map(text: str) -> dict[str, Entry]:
+    return {s: tuple(e) for s, e in json.loads(text).items()}
+
+
 def _declared(lang: str, statements: list[str]) -> dict[str, str] | None:
     """What statements of a script declare at their top, nothing in other languages; None if one is not valid or a name clashes."""
     declared: dict[str, str] = {}
@@ -200,6 +194,15 @@ def _declared(lang: str, statements: list[str]) -> dict[str, str] | None:
     return declared
 
 
+_PLACES = [("other", pa.int64()), ("future", pa.int64())]
+
+
+def _places(lang: str, statements: list[str], first: int) -> dict[str, int | None]:
+    """Where the first statement of Python stands before which a __future__ import must, and the last such import."""
+    other, future = future_order(statements) if lang == "python" else (None, None)
+    return {"other": None if other is None else first + other, "future": None if future is None else first + future}
+
+
 def _holds(lang: str, text: str, first: bool, last: bool, bracket: str) -> bool:
     if lang != "json":
         check = GRAMMARS[lang]

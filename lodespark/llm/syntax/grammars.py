@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import re
 import tomllib
 from collections.abc import Callable, Iterator
 
-import regex as re
-
 from lodespark.llm.syntax import script
-from lodespark.llm.syntax.chunks import LEXERS, PAIRS, Marks, entry_of, is_whole
-from lodespark.llm.syntax.yaml_grammar import KEY, check_yaml
+from lodespark.llm.syntax.chunks import LEXERS, PAIRS, Marks, entry_of, is_whole, prefixes
+from lodespark.llm.syntax.yaml_grammar import KEY, check_lines
 
 # Words that go on a statement begun before, and words that begin a declaration.
 _PY_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b")
@@ -22,6 +22,31 @@ def lines(text: str) -> str:
     return text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
 
 
+#: Characters of a chunk of a file that is judged where it is read.
+PIECE = 1 << 10
+_COLUMN_0 = re.compile(r"(?<=\n)(?=[^\s#])")
+
+
+def chunks_of(lang: str, text: str, size: int = PIECE) -> list[str]:
+    """The text, its line ends made one kind, cut after lines; YAML only where a line begins at column 0."""
+    text = lines(text)
+    out, at = [], 0
+    while at < len(text):
+        end = at + size
+        if end >= len(text):
+            end = len(text)
+        elif lang == "yaml":
+            m = _COLUMN_0.search(text, end)
+            end = m.start() if m else len(text)
+        else:
+            end = text.find("\n", end) + 1 or len(text)
+            while end < len(text) and text[end - 2] == "\\":
+                end = text.find("\n", end) + 1 or len(text)
+        out.append(text[at:end])
+        at = end
+    return out or [""]
+
+
 def starts(lang: str, text: str, state: str, openers: str, marks: Marks | None = None) -> list[int]:
     """Places in a chunk where a statement begins for certain; ``state`` and ``openers`` hold at its start."""
     if marks is None:
@@ -128,33 +153,93 @@ GRAMMARS: dict[str, Callable[..., bool]] = {
     "toml": check_toml,
     "javascript": lambda s, first=True, last=True: script.check(s, ts=False),
     "typescript": lambda s, first=True, last=True: script.check(s, ts=True),
-    "yaml": lambda s, first=True, last=True: check_yaml(s),
+    "yaml": lambda s, first=True, last=True: check_lines(s),
 }
 
 
-def check_file(lang: str, text: str) -> bool:
-    """A file of one chunk: its statements by the local grammar; where they can't be told apart, the file as one."""
+_FUTURE = re.compile(r"from\s+__future__\s+import\b")
+
+
+def future_order(statements: list[str]) -> tuple[int | None, int | None]:
+    """Places of the first statement that is no docstring or __future__ import, and of the last such import; None where there is none."""
+    other = future = None
+    said = False
+    for i, p in enumerate(statements):
+        if not (code := _PY_BLANK.sub("", p)):
+            continue
+        if _FUTURE.match(code):
+            future = i
+        elif other is None:
+            if not said and _is_text(code):
+                said = True
+            else:
+                other = i
+    return other, future
+
+
+_PY_BLANK = re.compile(r"\A(?:[ \t\f]*(?:#[^\n]*)?(?:\n|\Z))+")
+
+
+def _is_text(code: str) -> bool:
+    """Whether a statement is a string and nothing else."""
+    if code[:1] not in "\"'rRuUbB":
+        return False
+    try:
+        body = ast.parse(code).body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return len(body) == 1 and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str)
+
+
+def check_file(lang: str, text: str, size: int = PIECE) -> bool:
+    """A whole file: maps of its chunks, statements cut by what the maps tell, each by the local grammar, and what they say of each other."""
     text = lines(text)
-    state = LEXERS[lang][1][0]
-    end, marks, fault = LEXERS[lang][0](text, state)
-    whole = is_whole(lang, entry_of(end, marks, fault))
+    lexer, states = LEXERS[lang]
+    cut = chunks_of(lang, text, size)
+    # a file begins in the first state; any later chunk may begin in each
+    runs = [{s: lexer(c, s) for s in (states if i else states[:1])} for i, c in enumerate(cut)]
+    at, end = prefixes(states[0], ({s: entry_of(*r) for s, r in run.items()} for run in runs))
+    whole = is_whole(lang, end)
+    check = GRAMMARS.get(lang)
+    if lang in ("json", "toml") and not whole:
+        return False
+    if not whole or lang == "yaml" and not all(cuts_apart(lang, c, i == 0) for i, c in enumerate(cut)):
+        return check(text)
+    parts: list[str] = []
+    for c, run, (state, _, openers, _) in zip(cut, runs, at, strict=True):
+        for begins, p in pieces(lang, c, state, openers, run[state][1]):
+            if begins or not parts:
+                parts.append(p)
+            else:
+                parts[-1] += p
     if lang == "json":
-        if not whole:
-            return False
         lead = text.lstrip(" \t\n\r")[:1]
-        parts = [p for _, p in pieces(lang, text, state, "", marks)]
         return all(json_member(p, i == 0, i == len(parts) - 1, lead if lead in ("{", "[") else None) for i, p in enumerate(parts))
-    check = GRAMMARS[lang]
-    if lang == "python" and whole:
-        return all(check(p) for _, p in pieces(lang, text, state, "", marks))
-    if lang in ("javascript", "typescript") and whole:
+    if lang in ("javascript", "typescript"):
         declared: dict[str, str] = {}
-        for _, p in pieces(lang, text, state, "", marks):
-            own = script.names(p, lang == "typescript")
+        for p in parts:
+            own = script.names(p, lang == "typescript") if p.strip() else {}
             if own is None or script.clash(declared, own):
                 return False
             declared |= own
         return True
-    if lang == "toml":
-        return whole and all(check(p) for _, p in pieces(lang, text, state, "", marks)) and check(text)  # the last for keys defined twice
-    return check(text)
+    if not all(check(p) for p in _with_definitions(lang, parts)):
+        return False
+    if lang == "python" and "__future__" in text:
+        other, future = future_order(parts)
+        return other is None or future is None or future < other
+    return lang != "toml" or check(text)  # keys defined twice
+
+
+def _with_definitions(lang: str, parts: list[str]) -> list[str]:
+    """A decorator whose definition began in the next chunk is one statement with it."""
+    out: list[str] = []
+    for p in parts:
+        if lang == "python" and out and out[-1].startswith("@") and not _DEFINES.search(out[-1]):
+            out[-1] += p
+        else:
+            out.append(p)
+    return out
+
+
+_DEFINES = re.compile(r"(?m)^(?:async[ \t]+def|def|class)\b")

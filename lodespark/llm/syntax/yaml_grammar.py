@@ -1,30 +1,8 @@
-"""YAML: a stream's events by an installed parser, else by a line grammar of the same block structure."""
+"""YAML: a grammar of block structure by lines, with flow collections and scalars within, the same on every worker."""
 
 from __future__ import annotations
 
-import regex as re
-
-try:
-    import yaml
-
-    _Loader = getattr(yaml, "CLoader", None) or yaml.Loader
-except ImportError:
-    yaml = None
-
-
-def check_yaml(text: str) -> bool:
-    """Whether the text is a YAML stream; an empty one is."""
-    if yaml is None:
-        return check_lines(text)
-    try:
-        for _ in yaml.parse(text, Loader=_Loader):
-            pass
-    except (yaml.YAMLError, ValueError):
-        return False
-    except RecursionError:
-        return True
-    return True
-
+import re
 
 _DQ = r'"(?:\\(?:[0abtnvfre "/\\N_LP\n\t]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})|[^"\\])*"'
 _SQ = r"'(?:''|[^'])*'"
@@ -119,9 +97,13 @@ class _Blocks:
         self.value(rest, indent, indent + 1)
 
     def mapping(self, indent: int) -> None:
+        asked = False  # a key of its own line, of which the value follows
         while (at := self.peek()) is not None and at[0] == indent:
             body = at[1]
             if m := re.match(r"[?:](?:[ \t]+|$)", body):
+                if body[0] == ":" and not asked:
+                    raise _Fault
+                asked = body[0] == "?"
                 self.entry(indent, m.end(), body)
                 continue
             if re.match(r"(?:---|\.\.\.)(?:\s|$)", body) and indent == 0:
@@ -183,8 +165,8 @@ class _Blocks:
                 if self.i >= len(self.rows) or not re.match(r"[\"']|\s*$", text[at:]):
                     raise _Fault
                 more = self.rows[self.i]
-                if more.strip() and len(more) - len(more.lstrip(" ")) <= parent:
-                    raise _Fault
+                if more.strip() and len(more) - len(more.lstrip(" ")) <= parent and text[at : at + 1] not in ("'", '"'):
+                    raise _Fault  # only a quoted scalar may go on anywhere
                 text = text[at:] + "\n" + more
                 at = 0
                 self.i += 1

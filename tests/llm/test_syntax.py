@@ -1,12 +1,17 @@
 import json
+import os
 import random
+import tomllib
 
+import pyarrow.parquet as pq
 import pytest
 
 from lodespark.llm.syntax import chunks, files, script, yaml_grammar
-from lodespark.llm.syntax.grammars import check_file
+from lodespark.llm.syntax.grammars import check_file, lines
 from tests.conftest import rows
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
 VALID_JS = r"""#!/usr/bin/env node
 "use strict";
 import def, { a as b, default as c } from "./m.js";
@@ -151,3 +156,46 @@ def test_long_files_are_judged_as_whole_as_short_ones(spark):
     langs = spark.createDataFrame([("js", "javascript"), ("ts", "typescript"), ("toml", "toml")], "ext string, lang_name string")
     for size in (20, 60, 10_000):
         assert {r.patch_id: r.invalid for r in files.flags(df, langs, size=size).collect()} == {f"p{i}": bad for i, (_, _, bad) in enumerate(texts)}
+
+
+def test_imports_that_must_come_first(spark):
+    fill = "".join(f"x{i} = {i}\n" for i in range(12))
+    texts = [
+        ('"""doc"""\n# c\nfrom __future__ import annotations\n' + fill, False), (fill + "from __future__ import annotations\n", True), ('"a"\n"b"\nfrom __future__ import annotations\n' + fill, True),
+        ("from __future__ import annotations\nfrom __future__ import division\n" + fill, False), ("import os\nfrom __future__ import annotations\n", True), ("x = '''\nfrom __future__ import annotations\n'''\n", False),
+    ]
+    for text, bad in texts:
+        assert [check_file("python", text, size) for size in (20, 60, 10_000)] == [not bad] * 3
+    data = [(f"p{i}", "r", "x.py", text) for i, (text, _) in enumerate(texts)]
+    df = spark.createDataFrame(data, "patch_id string, repo string, file_path string, new_content string")
+    langs = spark.createDataFrame([("py", "python")], "ext string, lang_name string")
+    assert {r.patch_id: r.invalid for r in files.flags(df, langs, size=30).collect()} == {f"p{i}": bad for i, (_, bad) in enumerate(texts)}
+
+
+@pytest.mark.parametrize("lang, load", [("python", lambda t: compile(t, "t", "exec", dont_inherit=True)), ("json", json.loads), ("toml", tomllib.loads)])
+def test_verdicts_do_not_depend_on_chunks_and_equal_a_parsers(lang, load):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    ext, rnd, n = {"python": ("py", "pyi"), "json": ("json",), "toml": ("toml",)}[lang], random.Random(3), 0
+    for r in pq.read_table(f"{SF}/patches.parquet", columns=["file_path", "new_content"]).to_pylist():
+        text = lines(r["new_content"] or "")
+        if text and r["file_path"].lower().endswith(ext):
+            at = rnd.randrange(len(text))
+            for t in (text, text[:at], text[:at] + rnd.choice("()[]{}'\":,#") + text[at + 1 :]):
+                try:
+                    load(t)
+                    want = True
+                except (ValueError, SyntaxError):
+                    want = False
+                assert [check_file(lang, t, size) for size in (200, 1024, 1 << 18)] == [want] * 3
+                n += 1
+    assert n
+
+
+def test_maps_are_reduced_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(files, "BLOCK", 3)
+    good = "".join(f"def f{i}():\n    return [{i},\n  (1)]\n" for i in range(40))
+    data = [("a", "r", "x.py", good), ("b", "r", "x.py", good + "x = (\n"), ("c", "r", "x.py", good.replace("[7,", "(7,"))]
+    df = spark.createDataFrame(data, "patch_id string, repo string, file_path string, new_content string")
+    langs = spark.createDataFrame([("py", "python")], "ext string, lang_name string")
+    assert {r.patch_id: r.invalid for r in files.flags(df, langs, size=50).collect()} == {"a": False, "b": True, "c": True}
