@@ -3,11 +3,12 @@
 A record of a tree (JSON text) becomes one row for each node, evidence entry and metadata value.
 A row's ``row_path`` is its Dewey label: the ordinals on the way down from the root. The parent's
 label is a truncation of it, so no link is kept beside it, and any two rows of one tree can be
-related by prefix. Rows that share a ``schema_path`` (the way down without ordinals) have the same
-shape and form one flat table.
+related by prefix. Rows that share a ``schema_path`` (the way down without ordinals) form one flat
+table; which tables there are and which fields each has is found from the data.
 
 Defined cases: a tree that is null, not JSON, or not an object gives no rows. A list entry or lone
-item that is null takes its position and gives no row; so does a child that is no object. Children
+item that is null takes its position and gives no row; so does a child that is no object. Values whose
+paths collide (``{"a.b": 1, "a": {"b": 2}}``) are rows of their own, told apart by schema path or value. Children
 may be a list, one lone object (position 0) or either of them as JSON text. Repeated records give
 their rows once. A tree of any depth is read; nothing recurses.
 """
@@ -16,12 +17,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.storage import stored
+
 _TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([\[\]{},:])|([^\s\[\]{},:"]+))', re.S)
 
 _LABELS = "row_kind string, row_path string"
@@ -105,7 +108,7 @@ def _kind(v: object) -> str:
 
 
 def label_tree(text: str | None, values: bool = True) -> Iterator[tuple]:
-    """Rows (row_kind, row_path[, schema_path, value_type, value]) of one tree, each path once."""
+    """Rows (row_kind, row_path[, schema_path, value_type, value]) of one tree, each once. Keys within a schema path have their dots escaped."""
     root = _unwrap(text) if text is not None else None
     if not isinstance(root, dict):
         return
@@ -126,14 +129,15 @@ def label_tree(text: str | None, values: bool = True) -> Iterator[tuple]:
         while todo:
             keys, shape, v = todo.pop()
             if isinstance(v, dict):
-                todo += [((*keys, k), (*shape, k), x) for k, x in v.items()]
+                todo += [((*keys, k), (*shape, k.replace("\\", "\\\\").replace(".", "\\.")), x) for k, x in v.items()]
             elif isinstance(v, list):
                 todo += [((*keys, str(i)), (*shape, "*"), x) for i, x in enumerate(v)]
             elif v is not None:
                 label = f"{path}@{'.'.join(keys)}"
-                if label not in seen:
-                    seen.add(label)
-                    yield ("metadata", label, f"node.metadata.{'.'.join(shape)}", _kind(v), _text(v)) if values else ("metadata", label)
+                row = ("metadata", label, ".".join(("node", "metadata", *shape)), _kind(v), _text(v)) if values else ("metadata", label)
+                if row not in seen:
+                    seen.add(row)
+                    yield row
         children = _unwrap(node.get("children"))
         for i, child in enumerate(children if isinstance(children, list) else [children]):
             child = _unwrap(child)
@@ -190,35 +194,60 @@ def label_trees(trees: DataFrame, id_col: str = "tree_id", tree_col: str = "tree
     return out.select(F.col("id").alias(id_field.name), "row_kind", "row_path", "parent_path", *names[2:])
 
 
+def schema_tables(labelled: DataFrame) -> DataFrame:
+    """schema_path, n_rows, fields: the tables that the data hold, with the fields of those whose rows are objects.
+
+    Two small results joined: rows are counted, and fields found, by partial aggregates that combine
+    before they move, so a path that holds a third of all rows is no hot task.
+    """
+    counted = labelled.groupBy("schema_path").agg(F.count("*").alias("n_rows"))
+    keys = labelled.where("value_type = 'object'").select("schema_path", F.explode(F.json_object_keys("value")).alias("field")).distinct()
+    fields = keys.groupBy("schema_path").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    return counted.join(fields, "schema_path", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
+
+
+def flat_table(labelled: DataFrame, schema_path: str, fields: Sequence[str], id_col: str = "tree_id") -> DataFrame:
+    """id, row_path, parent_path and the ``fields`` of the rows of one schema path, as text; a field that a row lacks is null."""
+    held = F.from_json("value", "map<string, string>")
+    rows = labelled.where(F.col("schema_path") == schema_path).withColumn("_m", held)
+    return rows.select(id_col, "row_path", "parent_path", *(F.try_element_at("_m", F.lit(f)).alias(f) for f in fields))
+
+
+def tables(trees: DataFrame, id_col: str = "tree_id", tree_col: str = "tree") -> dict[str, DataFrame]:
+    """Every flat table of the trees by schema path; the trees are parsed once and their labelled rows stored.
+
+    Rows whose schema path has no objects have one column, ``value``. For data with few schema paths:
+    their names and fields are held by the driver.
+    """
+    labelled = stored(label_trees(trees, id_col, tree_col), "labelled")
+    out = {}
+    for t in schema_tables(labelled).toLocalIterator():
+        own = labelled.where(F.col("schema_path") == t["schema_path"]).select(id_col, "row_path", "parent_path", "value")
+        out[t["schema_path"]] = flat_table(labelled, t["schema_path"], t["fields"], id_col) if t["fields"] else own
+    return out
+
+
 def node_table(labelled: DataFrame, id_col: str = "tree_id") -> DataFrame:
     """The flat table of nodes, with the fields of a node as columns."""
-    node = F.from_json("value", "level int, question string, answer string, confidence double, rebuttal string")
-    return (
-        labelled.where("row_kind = 'node'")
-        .withColumn("n", node)
-        .select(id_col, F.col("row_path").alias("node_path"), F.col("parent_path"), F.size(F.split("row_path", r"\.")).alias("depth"), "n.*")
-    )
+    t = flat_table(labelled, "node", ["level", "question", "answer", "confidence", "rebuttal"], id_col)
+    depth = F.size(F.split("row_path", r"\."))
+    numbers = {"level": F.expr("try_cast(level as int)"), "confidence": F.expr("try_cast(confidence as double)")}
+    return t.withColumns(numbers).select(id_col, F.col("row_path").alias("node_path"), "parent_path", depth.alias("depth"), "level", "question", "answer", "confidence", "rebuttal")
 
 
 def evidence_table(labelled: DataFrame, id_col: str = "tree_id") -> DataFrame:
-    """The flat table of evidence: text entries in ``text``, object entries in their own columns."""
-    e = F.from_json("value", "source string, type string, weight double, contradicts boolean")
-    return (
-        labelled.where("row_kind = 'evidence'")
-        .withColumn("e", F.when(F.col("value_type") == "object", e))
-        .select(
-            id_col,
-            F.col("row_path").alias("evidence_path"),
-            F.col("parent_path").alias("node_path"),
-            F.substring_index("row_path", "#", -1).cast("int").alias("position"),
-            F.when(F.col("value_type") == "string", F.col("value")).alias("text"),
-            "e.*",
-        )
+    """The flat tables of evidence together: text entries in ``text``, object entries in their own columns."""
+    place = [id_col, F.col("row_path").alias("evidence_path"), F.col("parent_path").alias("node_path"), F.substring_index("row_path", "#", -1).cast("int").alias("position")]
+    objects = flat_table(labelled, "node.evidence.object", ["source", "type", "weight", "contradicts"], id_col).select(
+        *place, F.lit(None).cast("string").alias("text"), "source", "type", F.expr("try_cast(weight as double)").alias("weight"), F.expr("try_cast(contradicts as boolean)").alias("contradicts")
     )
+    rest = labelled.where(F.startswith("schema_path", F.lit("node.evidence.")) & (F.col("schema_path") != "node.evidence.object"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("source", "string"), ("type", "string"), ("weight", "double"), ("contradicts", "boolean"))]
+    return objects.unionByName(rest.select(*place, F.when(F.col("value_type") == "string", F.col("value")).alias("text"), *none))
 
 
 def metadata_table(labelled: DataFrame, id_col: str = "tree_id") -> DataFrame:
-    """The flat table of metadata values, keyed by schema path."""
-    return labelled.where("row_kind = 'metadata'").select(
+    """The flat tables of metadata values together, keyed by schema path."""
+    return labelled.where(F.startswith("schema_path", F.lit("node.metadata"))).select(
         id_col, F.col("row_path").alias("metadata_path"), F.col("parent_path").alias("node_path"), "schema_path", "value_type", "value"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodespark.operators import dewey, history, snapshots
 from lodespark.plans.catalog import CORE
@@ -53,18 +54,44 @@ def p1_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return dewey.node_table(dewey.label_trees(_trees(spark, sf)))
 
 
-@CORE.query("p1_evidence")
+@CORE.query(
+    "p1_evidence",
+    _P1_WITH
+    + r"""select distinct tree_id, path || '#' || (i - 1) evidence_path, path node_path, (i - 1)::int "position", case when json_type(v) = 'VARCHAR' then v->>'$' end "text",
+  case when json_type(v) = 'OBJECT' then v->>'source' end "source", case when json_type(v) = 'OBJECT' then v->>'type' end "type",
+  case when json_type(v) = 'OBJECT' then try_cast(v->>'weight' as double) end weight, case when json_type(v) = 'OBJECT' then try_cast(v->>'contradicts' as boolean)::varchar end contradicts
+  from e where json_type(v) <> 'NULL'""",
+)
 def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of evidence."""
-    return dewey.evidence_table(dewey.label_trees(_trees(spark, sf)))
+    return dewey.evidence_table(dewey.label_trees(_trees(spark, sf))).withColumn("contradicts", F.col("contradicts").cast("string"))
+
+
+_P1_KEYS = r"""ltrim(replace(replace(replace(replace(k, '$', ''), '[', '.'), ']', ''), '"', ''), '.')"""
+_P1_META = rf"""w as (select n.tree_id, n.path, t.fullkey k, t.type ty, n.j->'metadata'->>t.fullkey v from n, json_tree(n.j->'metadata') t where json_type(n.j->'metadata') is not null),
+x as (select distinct tree_id, path || '@' || {_P1_KEYS} metadata_path, path node_path, 'node.metadata' || case when k = '$' then '' else '.' || regexp_replace({_P1_KEYS}, '(^|\.)[0-9]+(?=\.|$)', '\1*', 'g') end schema_path,
+  case when ty = 'VARCHAR' then 'string' when ty = 'BOOLEAN' then 'boolean' else 'number' end value_type, v "value" from w where ty not in ('OBJECT', 'ARRAY', 'NULL'))""".replace("(?=\\.|$)", "(\\.|$)").replace("'\\1*'", "'\\1*\\2'")
 
 
-@CORE.query("p1_metadata")
+@CORE.query("p1_metadata", f"{_P1_WITH.rstrip()}, {_P1_META} select * from x")
 def p1_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of metadata values."""
     return dewey.metadata_table(dewey.label_trees(_trees(spark, sf)))
 
 
+@CORE.query(
+    "p1_tables",
+    f"""{_P1_WITH.rstrip()}, {_P1_META},
+r as (select distinct 'node' schema_path, tree_id, path row_path, (j::varchar) v from n
+  union select distinct 'node.evidence.' || case json_type(v) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' else 'number' end, tree_id, path || '#' || (i - 1), '' from e where json_type(v) <> 'NULL'
+  union select schema_path, tree_id, metadata_path, '' from x)
+select schema_path, count(distinct tree_id || ' ' || row_path)::bigint n_rows from r group by 1""",
+)
+def p1_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat tables that the trees' rows form by schema path, and how many rows each has."""
+    return dewey.schema_tables(dewey.label_trees(_trees(spark, sf))).select("schema_path", "n_rows")
+
+
 _P3_SQL = r"""
 with r as (select run_id, min(ts) ts from runs where run_id is not null and ts is not null group by 1),
 s as (
@@ -127,8 +154,6 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @CORE.query("p5_change_counts", _P5_SQL + "select repo, snapshot_no, change_kind, count(*) n from j where change_kind is not null group by all")
 def p5_change_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How many claims changed in which way at each snapshot."""
-    from pyspark.sql import functions as F
-
     return snapshots.changes(_snapshots(spark, sf), TRACKED).groupBy("repo", "snapshot_no", "change_kind").agg(F.count("*").alias("n"))
 
 

@@ -88,3 +88,21 @@ def test_rows_parents_and_defined_cases(spark):
 
 def test_empty_table(spark):
     assert dewey.label_trees(spark.createDataFrame([], "tree_id long, tree string")).count() == 0
+
+
+def test_colliding_paths_keep_both_values(spark):
+    tree = json.dumps({"metadata": {"a.b": 1, "a": {"b": 2, "0": 3}, "c": [4]}})
+    df = spark.createDataFrame([(1, tree), (1, tree)], "tree_id long, tree string")
+    got = {(r.metadata_path, r.schema_path, r.value) for r in dewey.metadata_table(dewey.label_trees(df)).collect()}
+    assert got == {("0@a.b", "node.metadata.a\\.b", "1"), ("0@a.b", "node.metadata.a.b", "2"), ("0@a.0", "node.metadata.a.0", "3"), ("0@c.0", "node.metadata.c.*", "4")}
+    assert rows(dewey.label_trees(df, values=False).where("row_kind = 'metadata'").select("row_path")) == [("0@a.0",), ("0@a.b",), ("0@c.0",)]
+
+
+def test_tables_are_found_from_the_data(spark):
+    trees = [{"level": 1, "extra": "x", "evidence": ["e", {"source": "s", "own": 1}], "children": [{"level": 2}]}, {"evidence": {"source": "t"}, "metadata": {"k": [True]}}]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)] + [(9, None), (8, "no json")], "tree_id long, tree string")
+    got = dewey.tables(df)
+    assert {k: v.columns[3:] for k, v in got.items()} == {"node": ["extra", "level"], "node.evidence.object": ["own", "source"], "node.evidence.string": ["value"], "node.metadata.k.*": ["value"]}
+    assert rows(got["node"]) == [(0, "0", "", "x", "1"), (0, "0.0", "0", None, "2"), (1, "0", "", None, None)]
+    assert rows(got["node.evidence.object"]) == [(0, "0#1", "0", "1", "s"), (1, "0#0", "0", None, "t")]
+    assert dewey.tables(df.limit(0)) == {}
