@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most rows of a side that is sent to every executor; some 20 MB at 100 bytes a row.
-BROADCAST_ROWS = 200_000
+#: The most rows, and bytes, of a side that is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
+
+
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row takes: the length of texts and nested values, 8 for each other column."""
+    out = F.lit(0)
+    for f in df.schema:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        text = c if kind in ("string", "binary") else F.to_json(F.struct(c)) if kind in ("array", "map", "struct") else None
+        out = out + (F.lit(8) if text is None else F.coalesce(F.octet_length(text), F.lit(0)) + 16)
+    return out.cast("long")
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a ``right`` that is usually small to a ``left`` that may have hot keys.
 
-    ``right`` is counted first (partial counts, nothing moves). Up to ``max_rows`` it is broadcast, so
-    hot keys cost nothing; beyond that a shuffled join is left to Spark, whose adaptive execution
+    ``right`` is counted and measured first (partial sums, nothing moves). Up to ``max_rows`` and
+    ``BROADCAST_BYTES`` it is broadcast, so hot keys cost nothing; beyond that a shuffled join is left to Spark, whose adaptive execution
     splits skewed partitions of ``left``.
     """
-    small = right.count() <= max_rows
+    rows, size = right.agg(F.count("*"), F.coalesce(F.sum(width(right)), F.lit(0))).collect()[0]
+    small = rows <= max_rows and size <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if small else right, on, how)
 
 

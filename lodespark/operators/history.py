@@ -2,8 +2,10 @@
 
 States of an entity follow each other by an ordinal. Consecutive states are differenced by a
 null-safe full outer join (ordinal n against n - 1), which classifies each as inserted, changed,
-deleted or the same; the change events together, each closed by the next one (lead), are the
-versions.
+deleted or the same. The change events together, each closed by the next one (lead), are the
+versions: an insertion or change opens one, a deletion closes the last. Updates (``versions``) say of
+an entity only what is reported, so it is deleted after its last report, and the version before holds on;
+full snapshots (``snapshot_versions``) also say what is gone, for good or until it comes again.
 
 No window runs over a whole entity: an entity that holds a third of all rows is cut into blocks of
 time; windows run within a block, and only one summary row for each block is looked at by entity.
@@ -14,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.functions.text import words_norm
+from lodespark.functions.text import norm, words_norm
+from lodespark.joins import lookup
+from lodespark.operators.snapshots import latest_loads
 from lodespark.storage import stored
 
 #: Seconds of time that one block of an entity's history covers.
@@ -43,7 +47,7 @@ def claim_states(updates: DataFrame, runs: DataFrame) -> DataFrame:
     rows = own.unionByName(told).where("claim_id is not null and run_id is not null")
     best = rows.groupBy("claim_id", "run_id").agg(F.max(F.struct("rank", "received_at", "update_id", "status", "confidence")).alias("b"))
     held = best.select("claim_id", "run_id", F.col("b.status").alias("status"), F.col("b.confidence").alias("confidence"))
-    return held.join(run_order(runs), "run_id").select("claim_id", "run_id", "run_ts", "status", "confidence")
+    return lookup(held, stored(run_order(runs), "run-order"), ["run_id"], "inner").select("claim_id", "run_id", "run_ts", "status", "confidence")
 
 
 def _block(ts: Column) -> Column:
@@ -117,12 +121,32 @@ def versions(updates: DataFrame, runs: DataFrame) -> DataFrame:
     facts = ["status", "confidence"]
     known = stored(claim_states(updates, runs), "reported")  # a few columns a claim and run; all that follows reads only this
     states = stored(numbered_and_filled(known, "claim_id", "run_ts", "run_id", facts), "states")
-    earlier = states.select("claim_id", (F.col("ord") + 1).alias("ord"), *facts)
-    events = (
-        difference(earlier, states, ["claim_id", "ord"], facts)
-        .where("change in ('inserted', 'changed')")
-        .select("claim_id", "ord", "change", "new.block", "new.status", "new.confidence", F.col("new.run_id").alias("from_run"), F.col("new.run_ts").alias("from_ts"))
-    )
-    events = stored(events, "events")
-    closed = close_by_lead(events, "claim_id", ["ord"], {"to_run": "from_run", "to_ts": "from_ts"})
-    return closed.select("claim_id", F.col("ord").alias("from_ord"), "change", "status", "confidence", "from_run", F.coalesce("to_run", F.lit("")).alias("to_run"), "from_ts", "to_ts")
+    earlier = states.select("claim_id", (F.col("ord") + 1).alias("ord"), "block", *facts)
+    found = difference(earlier, states, ["claim_id", "ord"], facts).where("change != 'same'")
+    # one row of the join is one event; an entity's end has no run and no time
+    gone = F.col("change") == "deleted"
+    events = found.select(
+        "claim_id", "ord", "change", F.when(gone, F.col("old.block")).otherwise(F.col("new.block")).alias("block"), "new.status", "new.confidence",
+        F.when(gone, F.lit("")).otherwise(F.col("new.run_id")).alias("from_run"), F.col("new.run_ts").alias("from_ts"),
+    )
+    closed = close_by_lead(stored(events, "events"), "claim_id", ["ord"], {"to_run": "from_run", "to_ts": "from_ts"})
+    return closed.where("change != 'deleted'").select("claim_id", F.col("ord").alias("from_ord"), "change", "status", "confidence", "from_run", "to_run", "from_ts", "to_ts")
+
+
+def snapshot_versions(rows: DataFrame, attributes: list[str], scope: str = "repo", snapshot: str = "snapshot_no", load: str = "load_no") -> DataFrame:
+    """scope, claim_key, from_no, to_no and the attributes: the versions of each key over a scope's full snapshots.
+
+    to_no is the snapshot that first shows another state, or in which the key is missing; null while the
+    version holds. Only the highest load of a snapshot counts; rows without scope, snapshot or key are
+    left out; of differing rows of one key the greatest stands. A key has at most one row a snapshot, so
+    windows by key are as short as a scope has snapshots.
+    """
+    keyed = rows.select(scope, snapshot, load, *attributes, norm("claim").alias("claim_key"))
+    best, deliveries = latest_loads(keyed, scope, snapshot, load)
+    held = best.where("claim_key is not null and claim_key != ''").groupBy(scope, "claim_key", "ord", "ended").agg(F.max(F.struct(*attributes)).alias("v"))
+    states = stored(held.select(scope, "claim_key", "ord", "ended", "v.*"), "snapshots")
+    earlier = states.where("not ended").withColumn("ord", F.col("ord") + 1)  # after the last snapshot nothing is known to be gone
+    events = difference(earlier, states, [scope, "claim_key", "ord"], attributes).where("change != 'same'").select(scope, "claim_key", "ord", "change", *(f"new.{a}" for a in attributes))
+    events = lookup(events, deliveries, [scope, "ord"], "inner").withColumnRenamed(snapshot, "from_no")
+    closed = events.withColumn("to_no", F.lead("from_no").over(Window.partitionBy(scope, "claim_key").orderBy("ord")))
+    return closed.where("change != 'deleted'").select(scope, "claim_key", "from_no", "to_no", *attributes)

@@ -127,6 +127,24 @@ def p3_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.versions(_updates(spark, sf), table(spark, sf, "runs", "run_id", "ts")).select("claim_id", "status", "confidence", "from_run", "to_run", "from_ts", "to_ts")
 
 
+_P3_SNAPSHOTS = r"""
+with k as (select *, lower(regexp_replace(claim, '^\s+|\s+$', '', 'g')) claim_key from claim_snapshots where repo is not null and snapshot_no is not null),
+l as (select * from (select *, rank() over (partition by repo, snapshot_no order by load_no desc) rk from k) where rk = 1 and claim_key <> ''),
+d as (select repo, snapshot_no, row_number() over (partition by repo order by snapshot_no) o from (select distinct repo, snapshot_no from k)),
+v as (select distinct repo, claim_key, o, status, confidence from l join d using (repo, snapshot_no)),
+g as (select *, sum(opens) over (partition by repo, claim_key order by o) part from (select *, case when lag(o) over w = o - 1 and status is not distinct from lag(status) over w and confidence is not distinct from lag(confidence) over w then 0 else 1 end opens
+  from v window w as (partition by repo, claim_key order by o))),
+s as (select repo, claim_key, part, min(o) lo, max(o) hi, min(status) status, min(confidence) confidence from g group by 1, 2, 3)
+select s.repo, claim_key, a.snapshot_no from_no, b.snapshot_no::varchar to_no, status, confidence from s join d a on a.repo = s.repo and a.o = lo left join d b on b.repo = s.repo and b.o = hi + 1
+"""
+
+
+@CORE.query("p3_snapshots", _P3_SNAPSHOTS)
+def p3_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions of each claim of a repo's tracker over its full snapshots, with the snapshot that ended each."""
+    return history.snapshot_versions(_snapshots(spark, sf), ["status", "confidence"]).withColumn("to_no", F.col("to_no").cast("string"))
+
+
 def _updates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "claim_updates", "update_id", "claim_id", "last_seen_run", "status", "confidence", "history", "received_at")
 

@@ -69,3 +69,21 @@ def test_difference_is_null_safe(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 1), (None, "z", 1)], "k int, v string, w int")
     b = spark.createDataFrame([(1, "x", None), (2, "y", None), (3, "n", 1), (None, "z", 1)], "k int, v string, w int")
     assert rows(history.difference(a, b, ["k"], ["v", "w"]).select("k", "change")) == sorted([(1, "same"), (2, "changed"), (3, "inserted"), (None, "same")], key=repr)
+
+
+def test_versions_over_snapshots_end_where_a_key_is_missing(spark):
+    data = [("r", 1, 0, "K", "open", 0.1), ("r", 2, 0, "k ", "open", 0.1), ("r", 4, 0, "j", None, None), ("r", 5, 0, "k", "open", 0.1), ("r", 5, 1, "k", None, 0.1), ("r", 6, 0, "k", None, 0.1), ("s", 1, 0, "k", "x", 1.0), (None, 1, 0, "k", "x", 1.0), ("s", 1, 0, " ", "x", 1.0)]
+    df = spark.createDataFrame([(*d, 7, "c") for d in data + data[:2]], "repo string, snapshot_no int, load_no int, claim string, status string, confidence double, ord int, change string")
+    got = history.snapshot_versions(df, ["status", "confidence"])
+    assert rows(got) == sorted([("r", "k", 1, 4, "open", 0.1), ("r", "j", 4, 5, None, None), ("r", "k", 5, None, None, 0.1), ("s", "k", 1, None, "x", 1.0)], key=repr)
+    assert history.snapshot_versions(df.limit(0), ["status", "confidence"]).count() == 0
+
+
+def test_wide_sides_are_not_broadcast(spark, monkeypatch):
+    from lodespark import joins
+
+    left, right = spark.range(3), spark.createDataFrame([(1, "x" * 500)], "id long, v string")
+    plan = lambda: joins.lookup(left, right, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 400)
+    assert "broadcast" not in plan()
