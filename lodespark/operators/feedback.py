@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.storage import stored
+
 #: Steps of one key that a single fold may hold; longer histories are folded block by block.
 FOLD_ROWS = 100_000
 
@@ -45,10 +50,48 @@ def updated_confidence(old: Column, score: Column, alpha: float = 0.3) -> Column
 
 
 def within_seconds(rows: DataFrame, keys: list[str], ts: str, tie: str, seconds: int = 300) -> DataFrame:
-    """Rows that follow no equal row (same keys) within ``seconds``: the first of each burst."""
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    gap = _micros(F.col(ts)) - F.lag(_micros(F.col(ts))).over(w)
-    return rows.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > seconds * 1_000_000)).drop("_gap")
+    """Rows that follow no kept equal row (same keys) within ``seconds``; a row that is dropped does not make later ones drop.
+
+    Null keys are equal to each other; rows without time are all kept. Which rows are kept follows from
+    one to the next only within a burst: after a pause longer than ``seconds`` the next row is kept
+    whatever came before. So bursts are told apart in blocks of a day, and each burst is read in order as
+    a stream: no key's rows are held together, and a key's bursts spread over tasks.
+    """
+    micros = seconds * 1_000_000
+    timed = rows.where(F.col(ts).isNotNull()).withColumn("_at", _micros(F.col(ts))).withColumn("_b", F.floor(F.col("_at") / 86_400_000_000))
+    w = Window.partitionBy(*keys, "_b").orderBy("_at", tie)
+    ends = timed.groupBy(*keys, "_b").agg(F.max("_at").alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b"))).select(*(F.col(f"`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_b").alias("_kb"), "_before")
+    same = F.col("_b") == F.col("_kb")
+    for n, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{n}"))
+    joined = timed.join(before, same).drop("_kb", *(f"_k{n}" for n in range(len(keys))))
+    starts = (F.col("_at") - F.coalesce(F.lag("_at").over(w), "_before") > micros) | F.coalesce(F.lag("_at").over(w), "_before").isNull()
+    marked = joined.withColumn("_first", starts)
+    # the burst a row belongs to: its last start in the block, or the last one of the blocks before
+    own = F.last(F.when(F.col("_first"), F.col("_at")), ignorenulls=True).over(w)
+    placed = stored(marked.withColumn("_own", own), "bursts")
+    last = placed.groupBy(*keys, "_b").agg(F.max("_own").alias("_o"))
+    carried = last.withColumn("_carry", F.last("_o", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    carried = carried.select(*(F.col(f"`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_b").alias("_kb"), "_carry")
+    bursts = placed.join(carried, same).withColumn("_burst", F.coalesce("_own", "_carry"))
+    names = [c for c in rows.columns]
+    group = F.xxhash64(*(x for k in keys for x in (F.col(f"`{k}`"), F.col(f"`{k}`").isNull())), F.col("_burst"))
+    ordered = bursts.withColumn("_g", group).repartition(*(F.col(f"`{k}`") for k in keys), "_burst").sortWithinPartitions(*(F.col(f"`{k}`") for k in keys), "_burst", "_at", tie)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_of, until = None, 0
+        for b in batches:
+            g, at = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            chosen = []
+            for i, (x, t) in enumerate(zip(g, at, strict=True)):
+                if x != group_of or t > until:
+                    group_of, until = x, t + micros
+                    chosen.append(i)
+            yield b.take(pa.array(chosen, pa.int64())).select(names)
+
+    kept = ordered.select(*(f"`{c}`" for c in names), "_g", "_at").mapInArrow(keep, rows.schema)
+    return kept.unionByName(rows.where(F.col(ts).isNull()))
 
 
 def _micros(ts: Column) -> Column:

@@ -51,9 +51,24 @@ def reachable(graph: DataFrame, starts: DataFrame, max_depth: int | None = None)
     return reached
 
 
+def trimmed(graph: DataFrame) -> DataFrame:
+    """The edges left when nodes without an edge in or out are dropped again and again; every cycle stays whole.
+
+    Most of a sparse graph goes in a few rounds of semi-joins; what is left lies on cycles or on ways between them.
+    """
+    left, n = stored(graph, "trim"), -1
+    while (now := left.count()) != n:
+        n = now
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        kept = kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        left = stored(kept, "trim")
+    return left
+
+
 def cycle_nodes(graph: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node, length: nodes on a cycle with the length of their shortest one."""
-    return reachable(graph, graph.select("src").distinct(), max_depth).where("start = node").select("node", F.col("depth").alias("length"))
+    """node, length: nodes on a cycle with the length of their shortest one. Only what ``trimmed`` leaves is searched."""
+    core = trimmed(graph)
+    return reachable(core, core.select("src").distinct(), max_depth).where("start = node").select("node", F.col("depth").alias("length"))
 
 
 def orphans(nodes: DataFrame, graph: DataFrame, node: str) -> DataFrame:
@@ -76,9 +91,12 @@ def resolve_longest(names: DataFrame, name: str, targets: DataFrame, target: str
 
 
 def branch_token(i: Column) -> Column:
-    """Ordinal 0, 1, 2 ... as a, b ... z, aa, ab ...; up to zz."""
-    low = F.char(F.lit(97) + i % 26)
-    return F.when(i < 26, low).otherwise(F.concat(F.char(F.lit(96) + F.floor(i / 26)), low))
+    """Ordinal 0, 1, 2 ... as a, b ... z, aa, ab ... zz, aaa ...: letters count from 1 in base 26, for any whole number. Null and negative ordinals give null."""
+    step = lambda a: F.struct((F.floor((a["n"] - 1) / 26)).cast("long").alias("n"), F.concat(F.char(F.lit(97) + (a["n"] - 1) % 26), a["t"]).alias("t"))
+    begin = F.struct((i.cast("long") + 1).alias("n"), F.lit("").alias("t"))
+    # 14 letters name every 64-bit ordinal
+    spelt = F.aggregate(F.sequence(F.lit(1), F.lit(14)), begin, lambda a, _: F.when(a["n"] > 0, step(a)).otherwise(a))
+    return F.when(i >= 0, spelt["t"])
 
 
 def preorder(paths: DataFrame, scope: str, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodespark.joins import lookup, spread
 from lodespark.storage import stored
@@ -22,10 +24,22 @@ QUERY_BLOCK = 50_000
 TEXT_BLOCK, MATRIX = 10_000, 1_000
 
 
+# What parts the words of a query, and what does not count at a word's ends.
+_EDGE = r"\s:?.,()\[\]{}\"'`\-_"
+_WORD = re.compile(rf"[^{_EDGE}](?:[^\s:?]*[^{_EDGE}])?")
+#: Letters that a keyword has at least, and how many keywords count.
+SHORTEST, KEYWORDS = 4, 8
+
+
 def keywords(query: str) -> list[str]:
-    """At most eight different words of four or more letters, in order, without stop words."""
-    words = (w.strip(".,()[]{}\"'`-_") for w in query.lower().replace(":", " ").replace("?", " ").split())
-    return list(dict.fromkeys(w for w in words if len(w) >= 4 and w not in STOP))[:8]
+    """The first eight different words of four or more letters, without stop words."""
+    found: dict[str, None] = {}
+    for m in _WORD.finditer(query.lower()):
+        if len(m[0]) >= SHORTEST and m[0] not in STOP:
+            found[m[0]] = None
+        if len(found) == KEYWORDS:
+            break
+    return [*found]
 
 
 def occurrences(text: Column, word: str) -> Column:
@@ -71,9 +85,10 @@ def bag(text: Column) -> Column:
 
 
 def bow_cosine(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, text_col: str) -> DataFrame:
-    """qid, id, score (3 places): the top_k texts of each query by cosine of word counts; rows without a common word are not listed.
+    """qid, id, score (3 places): the top_k texts of each query by cosine of word counts; of equals the smaller id.
 
-    ``queries``: qid, query; few rows. The vocabulary is the corpus's, so a query's other words do not
+    Texts without a common word have score 0 and are listed where fewer than top_k others are: those of
+    the smallest ids. Null texts are none. ``queries``: qid, query; few rows. The vocabulary is the corpus's, so a query's other words do not
     count in its norm. Texts are turned to counts once; only words of queries are joined.
     """
     asked = queries.select("qid", F.explode(bag(F.col("query"))).alias("word")).groupBy("qid", "word").agg(F.count("*").alias("m"))
@@ -87,8 +102,12 @@ def bow_cosine(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, tex
     qnorm = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("qnorm"))
     dots = lookup(texts, asked, ["word"], "inner").groupBy("qid", id_col, "norm").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     scored = lookup(dots, qnorm, ["qid"], "inner").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 3))
+    # at most top_k hits of a query are among the top_k smallest ids, so these are enough to fill up with
+    first = docs.where(F.col(text_col).isNotNull()).select(id_col).distinct().orderBy(id_col).limit(top_k)
+    rest = queries.select("qid").distinct().join(F.broadcast(first)).select("qid", id_col, F.lit(0.0).alias("score"))
+    every = scored.select("qid", id_col, "score").unionByName(rest).groupBy("qid", id_col).agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select("qid", id_col, "score")
+    return every.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select("qid", id_col, "score")
 
 
 def best(score: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,3 +319,50 @@ def dense_cosine(vectors: DataFrame, top_k: int, id_col: str, vec_col: str, ever
         out = out.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top_k).select("qid", "id", "score")
+
+
+def contained(texts: DataFrame, text_col: str, terms: DataFrame, term_col: str, block: int = 50_000) -> DataFrame:
+    """All columns of ``texts`` and ``term_col``: one row for each text and each different term that it contains.
+
+    Terms go to the executors ``block`` at a time, however many there are; each block is one automaton
+    that reads every text once, so the work grows with texts and hits, not with pairs. Null texts
+    contain nothing; null and empty terms are none.
+    """
+    out = None
+    names, kinds = texts.columns, texts.schema
+    term_kind = terms.select(term_col).schema[0]
+    for part in _blocks(terms.where(F.col(term_col).isNotNull() & (F.col(term_col) != "")).select(term_col).distinct().toLocalIterator(), block):
+        found = texts.where(F.col(text_col).isNotNull()).mapInArrow(_automaton(part, text_col, names, term_col), T.StructType([*kinds, term_kind]))
+        out = found if out is None else out.unionByName(found)
+    return texts.withColumn(term_col, F.lit(None).cast("string")).limit(0) if out is None else out
+
+
+def _blocks(rows: Iterator, size: int) -> Iterator[list[str]]:
+    held: list[str] = []
+    for r in rows:
+        held.append(r[0])
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _automaton(terms: list[str], text_col: str, names: list[str], term_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for t in terms:
+            known.add_word(t, t)
+        known.make_automaton()
+        for b in batches:
+            take, found = [], []
+            for i, text in enumerate(b.column(names.index(text_col)).to_pylist()):
+                hits = dict.fromkeys(t for _, t in known.iter(text))
+                take += [i] * len(hits)
+                found += hits
+            kept = b.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string())], names=[*names, term_col])
+
+    return run

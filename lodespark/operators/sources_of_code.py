@@ -14,13 +14,53 @@ from pyspark.sql import functions as F
 RISKY = {
     "eval": "critical",
     "exec": "critical",
+    "compile": "high",
     "os.system": "critical",
-    "os.popen": "critical",
-    "pickle.loads": "high",
-    "pickle.load": "high",
+    "subprocess.call": "high",
+    "pickle.loads": "critical",
     "yaml.load": "high",
-    "subprocess.call": "medium",
+    "yaml.unsafe_load": "critical",
 }
+SAFE_COMPILE = ("re.compile", "regex.compile")
+# Lines that look like a secret, with severity; values that are none.
+SECRET_LINES = {
+    "hardcoded_password": ("high", r"(?i)(?:password|passwd|pwd)\s*=\s*[\"'][^\"']+[\"']"),
+    "hardcoded_secret": ("high", r"(?i)(?:api_key|apikey|auth_token|access_token|secret_key|client_secret)\s*=\s*[\"'][^\"']+[\"']"),
+    "hardcoded_connection": ("medium", r"(?i)(?:database_url|db_url|connection_string)\s*=\s*[\"'][^\"']+[\"']"),
+}
+NO_SECRET = ("", "local", "test", "example", "your_key_here", "config.get")
+# What a patch must not bring in.
+SECRET_PATTERNS = (
+    r"(?i)(password|passwd|pwd)\s*=\s*['\"][^'\"]{4,}['\"]",
+    r"(?i)(api[_-]?key|apikey|secret[_-]?key)\s*=\s*['\"][^'\"]{8,}['\"]",
+    r"(?i)(bearer|token)\s+[A-Za-z0-9_\-]{20,}",
+    r"\b(?:ghp|github_pat_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9_]{36,}\b",
+    r"\b(?:sk|pk|priv)[_-]?[A-Za-z0-9]{20,}\b",
+    r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
+)
+#: The value that a line assigns, and what reads one from elsewhere.
+ASSIGNED = r"=\s*[\"']([^\"']+)[\"']"
+READ = r"config\.get|os\.environ"
+
+
+def secret_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """All columns and risk_type, severity of each line that looks like a secret, once for each kind.
+
+    A value that is a known placeholder, or is read from a configuration or the environment, is none.
+    Null lines have none.
+    """
+    text = F.col(line)
+    value = F.lower(F.trim(F.regexp_extract(text, ASSIGNED, 1)))
+    fine = F.regexp_extract(text, ASSIGNED, 1).isin("") | ~(value.isin(*NO_SECRET) | text.rlike(READ))
+    kinds = [F.when(text.rlike(rx), F.struct(F.lit(k).alias("risk_type"), F.lit(sev).alias("severity"))) for k, (sev, rx) in SECRET_LINES.items()]
+    hit = lines.where(fine).withColumn("_k", F.explode(F.array_compact(F.array(*kinds))))
+    return hit.select(*lines.columns, "_k.*")
+
+
+def patch_secrets(old: Column, new: Column) -> Column:
+    """How often each of the six patterns occurs in a patch's old and new text, as an array; null texts count as empty."""
+    both = F.concat(F.coalesce(old, F.lit("")), F.lit("\n"), F.coalesce(new, F.lit("")))
+    return F.array(*(F.regexp_count(both, F.lit(rx)).cast("long") for rx in SECRET_PATTERNS))
 
 
 def lines_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,7 +107,9 @@ def _name(node: ast.expr) -> str:
 
 
 def _risk(name: str) -> str | None:
-    return next((s for p, s in RISKY.items() if name == p or name.endswith("." + p)), None)
+    """The severity of the first pattern that a call's name ends with; compiling a regular expression is no risk."""
+    hits = (s for p, s in RISKY.items() if (name == p or name.endswith("." + p)) and not (p == "compile" and any(safe in name for safe in SAFE_COMPILE)))
+    return next(hits, None)
 
 
 def facts(source: str) -> Iterator[tuple[str, str, int, float]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.joins import lookup
+from lodespark.joins import lookup, ranked
 
 
 def track(presence: DataFrame, key: str, run: str) -> DataFrame:
@@ -17,10 +17,11 @@ def track(presence: DataFrame, key: str, run: str) -> DataFrame:
     different ones. Null keys and runs are left out.
     """
     seen = presence.where(F.col(key).isNotNull() & F.col(run).isNotNull()).select(key, run).distinct()
-    runs = seen.select(run).distinct().withColumns({"ord": F.row_number().over(Window.orderBy(run)), "last_ord": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    runs = ranked(seen.select(run).distinct(), run, "ord")
+    last = runs.agg(F.max("ord")).collect()[0][0] or 0
     ordered = lookup(seen, runs, [run], "inner")
-    t = ordered.groupBy(key).agg(F.count("*").alias("run_count"), F.min("ord").alias("first_ord"), F.max("last_ord").alias("last_ord"), F.min(run).alias("first_run"), F.max(run).alias("last_run"))
-    status = F.when(F.col("run_count") == F.col("last_ord") - F.col("first_ord") + 1, F.when(F.col("run_count") == 1, "open").otherwise("still_open")).otherwise("potentially_resolved")
+    t = ordered.groupBy(key).agg(F.count("*").alias("run_count"), F.min("ord").alias("first_ord"), F.min(run).alias("first_run"), F.max(run).alias("last_run"))
+    status = F.when(F.col("run_count") == F.lit(last) - F.col("first_ord") + 1, F.when(F.col("run_count") == 1, "open").otherwise("still_open")).otherwise("potentially_resolved")
     return t.select(key, "run_count", "first_run", "last_run", status.alias("status"))
 
 
@@ -43,6 +44,11 @@ def keep_most(tracked: DataFrame, key: str, n: int) -> DataFrame:
     return tracked.orderBy(F.desc("run_count"), "first_run", key).limit(n)
 
 
+def keep_latest(tracked: DataFrame, key: str, n: int) -> DataFrame:
+    """The n keys with most runs; of equals those seen last, then by key descending: the order of the store that keeps 500."""
+    return tracked.orderBy(F.desc("run_count"), F.desc("last_run"), F.desc(key)).limit(n)
+
+
 def union_by_precedence(stores: list[DataFrame], norm_key: str) -> DataFrame:
     """Rows of several stores, one for each norm_key: from the first store that has it."""
     out = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.operators import consensus, dewey, graph, history, reports
+from lodespark.operators import consensus, dewey, graph, history, reports, search
 from lodespark.operators import sources_of_code as code
 from lodespark.plans.catalog import CORE
 from lodespark.plans.reference_search import _hits, _most, _pick
@@ -94,13 +94,10 @@ def longest_prefix_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query("contains_link", "with i as (select distinct lower(issue) issue from fractal_trees where issue is not null), c as (select report_id, lower(claim) t from claim_reports) select issue, count(*) claims from i join c on contains(t, issue) group by 1")
 def contains_link(spark: SparkSession, sf: str) -> DataFrame:
-    """Claims that contain the text of a known issue. Issues are a short list, matched by one automaton-like expression a row."""
-    issues = [r[0] for r in table(spark, sf, "fractal_trees", "issue").where("issue is not null").select(F.lower("issue").alias("i")).distinct().orderBy("i").limit(10_001).collect()]
-    if len(issues) > 10_000:
-        raise ValueError("more issues than a list of patterns can hold")
-    found = F.filter(F.array(*map(F.lit, issues)).cast("array<string>"), lambda i: F.contains(F.lower("claim"), i))
-    hit = table(spark, sf, "claim_reports", "claim").where("claim is not null").select(F.explode(found).alias("issue"))
-    return hit.groupBy("issue").agg(F.count("*").alias("claims"))
+    """Claims that contain the text of a known issue."""
+    issues = table(spark, sf, "fractal_trees", "issue").select(F.lower("issue").alias("issue"))
+    claims = table(spark, sf, "claim_reports", "claim").select(F.lower("claim").alias("claim"))
+    return search.contained(claims, "claim", issues, "issue").groupBy("issue").agg(F.count("*").alias("claims"))
 
 
 _P = "(select distinct patch_id, repo, file_path, old_content, new_content, diff, applied_at from patches)"
@@ -175,20 +172,29 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("repo", "path", names[F.col("change")].alias("change"))
 
 
-_SECRET = r"(?i)(password|passwd|secret|api_key|token)[a-z_]*[ ]*[:=][ ]*[\"'][^\"']{8,}[\"']"
+def _sql_text(x: str) -> str:
+    return x.replace("'", "''")
 
 
-@CORE.query("secret_line_scan", f"select patch_id, line_no from (select patch_id, unnest(string_split(new_content, chr(10))) line, generate_subscripts(string_split(new_content, chr(10)), 1)::int line_no from {_P} where new_content is not null) where regexp_matches(line, '{_SECRET.replace(chr(39), chr(39) * 2)}')")
+_LINES = f"(select patch_id, unnest(string_split(new_content, chr(10))) line, generate_subscripts(string_split(new_content, chr(10)), 1)::int line_no from {_P} where new_content is not null)"
+_VALUE = f"regexp_extract(line, '{_sql_text(code.ASSIGNED)}', 1)"
+_FINE = f"({_VALUE} = '' or not (lower(trim({_VALUE})) in ({', '.join(repr(v) for v in code.NO_SECRET)}) or regexp_matches(line, '{code.READ}')))"
+
+
+@CORE.query("secret_line_scan", " union all ".join(f"select patch_id, line_no, '{k}' risk_type, '{sev}' severity from {_LINES} where regexp_matches(line, '{_sql_text(rx)}') and {_FINE}" for k, (sev, rx) in code.SECRET_LINES.items()))
 def secret_line_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines that a simple pattern takes for a secret."""
-    lines = code.lines_of(_patches(spark, sf, "new_content"), "patch_id", "new_content")
-    return lines.where(F.col("line").rlike(_SECRET)).select("patch_id", "line_no")
+    """Lines that one of three patterns takes for a secret, without placeholders."""
+    return code.secret_lines(code.lines_of(_patches(spark, sf, "new_content"), "patch_id", "new_content")).select("patch_id", "line_no", "risk_type", "severity")
+
+
+_BOTH = "coalesce(old_content, '') || chr(10) || coalesce(new_content, '')"
 
 
-@CORE.query("secret_match_count", f"select patch_id, len(regexp_extract_all(new_content, '{_SECRET.replace(chr(39), chr(39) * 2)}'))::bigint n from {_P} where regexp_matches(new_content, '{_SECRET.replace(chr(39), chr(39) * 2)}')")
+@CORE.query("secret_match_count", f"select * from (select patch_id, unnest(range(1, {len(code.SECRET_PATTERNS) + 1}))::int pattern, unnest([" + ", ".join(f"len(regexp_extract_all({_BOTH}, '{_sql_text(rx)}'))" for rx in code.SECRET_PATTERNS) + f"])::bigint n from {_P}) where n > 0")
 def secret_match_count(spark: SparkSession, sf: str) -> DataFrame:
-    """All matches of the pattern in each patch."""
-    return _patches(spark, sf, "new_content").withColumn("n", F.regexp_count("new_content", F.lit(_SECRET)).cast("long")).where("n > 0").select("patch_id", "n")
+    """How often each of six patterns occurs in each patch; without rows a patch passes."""
+    found = F.posexplode(code.patch_secrets(F.col("old_content"), F.col("new_content"))).alias("p", "n")
+    return _patches(spark, sf, "old_content", "new_content").select("patch_id", found).where("n > 0").select("patch_id", (F.col("p") + 1).alias("pattern"), "n")
 
 
 @CORE.query("source_metrics", f"select repo, count(*) files, sum(len(string_split(new_content, chr(10))))::bigint lines, count(*) filter (regexp_matches(new_content, '(?i)todo|fixme|hack')) todo_files from {_P} where new_content is not null group by 1")

@@ -139,7 +139,12 @@ def learning_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 @CORE.query(
     "window_dedup_300s",
-    "select event_id from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts, event_id) g from events) where g is null or g > 300000000",
+    """with recursive o as (select event_id, coalesce('=' || user_id, '-') || chr(31) || coalesce('=' || event_type, '-') g, epoch_us(ts) us,
+      row_number() over (partition by user_id, event_type order by ts, event_id) k from events where ts is not null),
+    f as (select g, us, min(k) k from o group by all),
+    n as (select o.event_id, o.g, o.k, f.k nxt from o asof left join f on o.g = f.g and o.us + 300000000 < f.us),
+    w(event_id, g, nxt) as (select event_id, g, nxt from n where k = 1 union all select n.event_id, n.g, n.nxt from w join n on n.g = w.g and n.k = w.nxt)
+    select event_id from w union all select event_id from events where ts is null""",
 )
 def window_dedup_300s(spark: SparkSession, sf: str) -> DataFrame:
     """The first of each burst of equal events."""
@@ -222,12 +227,12 @@ def gap_detect(spark: SparkSession, sf: str) -> DataFrame:
 @CORE.query(
     "loop_detect",
     """select run_id, count(distinct phase) phases from (select *, row_number() over (partition by run_id order by ts desc, trace_id desc) j from (select distinct trace_id, run_id, phase, ts from traces where run_id is not null)) where j <= 10
-    group by 1 having count(*) = 10 and count(distinct phase) <= 4""",
+    group by 1 having count(*) = 10 and count(distinct phase) <= 2""",
 )
 def loop_detect(spark: SparkSession, sf: str) -> DataFrame:
     """Runs whose last ten traces show few phases."""
     t = table(spark, sf, "traces", "trace_id", "run_id", "phase", "ts").distinct()
-    return runs.loops(t, "run_id", "phase", "ts", "trace_id", most=4)
+    return runs.loops(t, "run_id", "phase", "ts", "trace_id", most=2)
 
 
 @CORE.query(

@@ -46,7 +46,8 @@ _asked = ", ".join(f"({i}, '{q}')" for i, q in ASKED)
     tf as (select doc_id, word, count(*) n from w where word <> '' group by all), norms as (select doc_id, sqrt(sum(n * n)) norm from tf group by 1),
     qw as (select qid, unnest({_BAG.format("query")}) word from (values {_asked}) v(qid, query)), q as (select qid, word, count(*) m from qw where word <> '' and word in (select word from tf) group by all),
     qn as (select qid, sqrt(sum(m * m)) qnorm from q group by 1), d as (select qid, doc_id, sum(n * m) dot from tf join q using (word) group by all),
-    s as (select qid, doc_id, round(dot / (norm * qnorm), 3) score from d join norms using (doc_id) join qn using (qid))
+    h as (select qid, doc_id, round(dot / (norm * qnorm), 3) score from d join norms using (doc_id) join qn using (qid)),
+    s as (select v.qid, doc_id, coalesce(score, 0) score from (select distinct qid from (values {_asked}) v(qid, query)) v cross join (select distinct doc_id from documents where text is not null) left join h using (qid, doc_id))
     select qid, doc_id, score from (select *, row_number() over (partition by qid order by score desc, doc_id) k from s) where k <= 5""",
 )
 def bow_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,9 @@ State is bounded by watermarks: a key's state is dropped once the watermark has
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -39,20 +41,33 @@ def tumbling_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour")
 TRACKED = "key string, run_count long, first_run string, last_run string, status string"
 
 
-def _track(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    count, first, last = state.get if state.exists else (0, "", "")
-    new = sorted({str(r) for b in batches for r in b["run"] if r is not None and str(r) > last})
+def _track(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    count, first, last, seen_ms = state.get if state.exists else (0, "", "", 0)
+    new: set[str] = set()
+    for b in batches:
+        new |= {str(r) for r in b["run"] if r is not None and str(r) > last}
+        seen_ms = max(seen_ms, int(b["ms"].max()))
     if new:
-        first = first or new[0]
-        count, last = count + len(new), new[-1]
-        state.update((count, first, last))
+        first = first or min(new)
+        count, last = count + len(new), max(new)
+    state.update((count, first, last, seen_ms))
+    state.setTimeoutTimestamp(max(seen_ms, state.getCurrentWatermarkMs()) + keep_ms)
     yield pd.DataFrame({"key": [str(key[0])], "run_count": [count], "first_run": [first], "last_run": [last], "status": ["open" if count == 1 else "seen_again"]})
 
 
-def tracked(stream: DataFrame, key: str, run: str) -> DataFrame:
-    """For each key that a batch brings: in how many runs it was seen so far, the first and the last; runs arrive in order."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(run).cast("string").alias("run")).where("key is not null and run is not null")
-    return rows.groupBy("key").applyInPandasWithState(_track, TRACKED, "run_count long, first_run string, last_run string", "update", GroupStateTimeout.NoTimeout)
+def tracked(stream: DataFrame, key: str, run: str, ts: str = "ts", keep: dt.timedelta = dt.timedelta(days=30)) -> DataFrame:
+    """For each key that a batch brings: in how many runs it was seen so far, the first and the last; runs arrive in order.
+
+    ``stream`` has a watermark on ``ts``. A key's state goes once the watermark is ``keep`` past its last
+    event; seen again later, the key begins anew. Rows without key, run or time are left out.
+    """
+    ms = F.unix_millis(F.col(ts)).alias("ms")
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(run).cast("string").alias("run"), ts, ms).where("key is not null and run is not null and ms is not null")
+    step = partial(_track, keep_ms=int(keep.total_seconds() * 1000))
+    return rows.groupBy("key").applyInPandasWithState(step, TRACKED, "run_count long, first_run string, last_run string, seen_ms long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -104,6 +104,9 @@ def test_bow_cosine(spark):
     asked = spark.createDataFrame([(1, "eval usage detected"), (2, "eval() found in auth.py")], "qid int, query string")
     got = {(r.qid, r.id): r.score for r in search.bow_cosine(docs, asked, 5, "id", "text").collect()}
     assert got[1, 1] == pytest.approx(0.447) and got[2, 1] == 1.0
+    assert got[1, 2] == 0.0 and len(got) == 4  # a text without a common word is listed with score 0
+    nothing = spark.createDataFrame([(7, "zzz"), (8, None)], "qid int, query string")
+    assert rows(search.bow_cosine(docs, nothing, 1, "id", "text")) == [(7, 1, 0.0), (8, 1, 0.0)]
 
 
 def test_dense_cosine_in_blocks_equals_one_block(spark):
@@ -159,8 +162,8 @@ def test_graph(spark):
 def test_branch_tokens(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(i,) for i in (0, 25, 26, 27, 701)], "i int")
-    assert [r[0] for r in df.select(graph.branch_token(F.col("i"))).collect()] == ["a", "z", "aa", "ab", "zz"]
+    df = spark.createDataFrame([(i,) for i in (0, 25, 26, 27, 701, 702, 18277, 18278, None, -1)], "i int")
+    assert [r[0] for r in df.select(graph.branch_token(F.col("i"))).collect()] == ["a", "z", "aa", "ab", "zz", "aaa", "zzz", "aaaa", None, None]
 
 
 def test_python_facts():
@@ -228,3 +231,62 @@ def test_rules(spark):
     assert mean == {"Unchecked EVAL": 0.86, "x": 0.75}
     s = spark.createDataFrame([("This sentence is surely long enough. What is it? Short. This sentence is surely long enough. Another one that is long enough!",)], "t string")
     assert s.select(rules.sentences(F.col("t"))).collect()[0][0] == ["This sentence is surely long enough", "Another one that is long enough!"]
+
+
+def test_a_dropped_row_drops_no_other(spark):
+    import datetime as dt
+    import random
+
+    from lodespark.operators import feedback
+
+    t0 = dt.datetime(2031, 1, 1, 23, 50)
+    rnd = random.Random(4)
+    data = [("a", t0 + dt.timedelta(seconds=s), i, "x") for i, s in enumerate((0, 200, 400, 650, 701, 1500, 86_000, 86_200, 86_400))]
+    data += [(rnd.choice(["hot", None, "c"]), t0 + dt.timedelta(seconds=rnd.choice([rnd.randrange(200_000), 600 * rnd.randrange(300)])), 100 + i, "x") for i in range(900)]
+    data += [("a", None, 5000, "x"), ("a", None, 5001, "x")]
+    want, last = {5000, 5001}, {}
+    for k, t, i, _ in sorted((d for d in data if d[1]), key=lambda d: (str(d[0]), d[1], d[2])):
+        if k not in last or (t - last[k]).total_seconds() > 300:
+            last[k] = t
+            want.add(i)
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, i long, _b string")
+    got = feedback.within_seconds(df.withColumnRenamed("_b", "block"), ["k"], "ts", "i")
+    assert {r.i for r in got.collect()} == want and got.columns == ["k", "ts", "i", "block"]
+    assert {0, 2, 4, 5} <= want and 1 not in want
+    assert feedback.within_seconds(df.limit(0), ["k"], "ts", "i").count() == 0
+
+
+def test_contained_terms_in_blocks(spark):
+    texts = spark.createDataFrame([(1, "abcab"), (2, None), (3, ""), (4, "xbc")], "id int, t string")
+    terms = spark.createDataFrame([("ab",), ("bc",), ("bc",), (None,), ("",), ("c",)], "w string")
+    for block in (1, 2, 100):
+        assert rows(search.contained(texts, "t", terms, "w", block).select("id", "w")) == [(1, "ab"), (1, "bc"), (1, "c"), (4, "bc"), (4, "c")]
+    assert search.contained(texts, "t", terms.limit(0), "w").count() == 0
+
+
+def test_ranks_without_a_window(spark):
+    from lodespark.joins import ranked
+
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "n int").repartition(5)
+    assert rows(ranked(df, "n", "place")) == sorted([(i, i + 1) for i in range(101)], key=repr)
+    assert ranked(df.limit(0), "n", "place").count() == 0
+
+
+def test_trimming_keeps_cycles_only(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("x", "a"), ("d", "e")], "src string, dst string")
+    assert rows(graph.trimmed(e)) == [("a", "b"), ("b", "a")]
+    assert rows(graph.cycle_nodes(e)) == [("a", 2), ("b", 2)]
+    assert graph.cycle_nodes(e.where("src = 'c'")).count() == 0
+
+
+def test_all_kinds_of_findings_in_code():
+    src = "def f(a):\n  'd'\n  cursor.execute(f'select {a}')\n  compile(a, '', 'exec')\n  re.compile(a)\n  yaml.unsafe_load(a)\n  pickle.loads(a)\n  subprocess.call(a)\n  ast.literal_eval(a)\n" + "  x = 1\n" * 50
+    got = [(k, n) for k, n, *_ in code.facts(src)]
+    assert [n for k, n in got if k == "risk"] == ["high:compile", "critical:yaml.unsafe_load", "critical:pickle.loads", "high:subprocess.call"]
+    assert ("fstring_sql", "cursor.execute") in got and ("long_function", "f") in got
+
+
+def test_secret_lines(spark):
+    lines = ['PASSWORD = "hunter2"', "password = 'test'", 'api_key="abc"', 'db_url = "x" or config.get("y")', "pwd = os.environ['x']", None, "connection_string = 'a=b'"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, line string")
+    assert rows(code.secret_lines(df).select("id", "risk_type")) == [(0, "hardcoded_password"), (2, "hardcoded_secret"), (6, "hardcoded_connection")]
