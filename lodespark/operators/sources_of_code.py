@@ -150,7 +150,7 @@ def facts(source: str) -> Iterator[tuple[str, str, int, float]]:
                 yield "no_docstring", node.name, node.lineno, 0.0
     for node in tree.body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            yield "symbol", node.name, node.lineno, 0.0
+            yield "symbol", node.name, node.lineno, 5.0 if isinstance(node, ast.ClassDef) else 12.0
 
 
 def python_facts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

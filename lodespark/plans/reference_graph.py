@@ -9,6 +9,7 @@ from lodespark.operators import consensus, dewey, graph, history, reports, searc
 from lodespark.operators import sources_of_code as code
 from lodespark.plans.catalog import CORE
 from lodespark.plans.reference_search import _hits, _most, _pick
+from lodespark.plans.training_data import _P1_WITH
 from lodespark.sources.tables import table
 
 _CALLS = r"([a-z_0-9]+) in [^ ]+ calls ([a-z_0-9]+)"
@@ -326,14 +327,22 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return dewey.node_table(dewey.label_trees(table(spark, sf, "fractal_trees", "tree_id", "tree")))
 
 
-@CORE.query("tree_meta")
+_TREE = _P1_WITH + "select distinct tree_id, path, try_cast(j->>'confidence' as double) confidence from n"
+_META = f"""select tree_id, count(*) nodes, max(len(string_split(path, '.')))::int "depth", round(avg(confidence) * case when max(len(string_split(path, '.'))) >= 5 then 1.0 else 0.8 end, 6) aggregate from ({_TREE}) group by 1"""
+
+
+@CORE.query("tree_meta", _META)
 def tree_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Size, depth and mean confidence of each tree, with the penalty for shallow ones."""
     g = _nodes(spark, sf).groupBy("tree_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.avg("confidence").alias("m"))
     return g.select("tree_id", "nodes", "depth", F.round(F.col("m") * F.when(F.col("depth") >= 5, 1.0).otherwise(0.8), 6).alias("aggregate"))
 
 
-@CORE.query("expand_budgeted")
+@CORE.query(
+    "expand_budgeted",
+    f"""select tree_id, place::int place, path node_path, case when i < 26 then chr(97 + i) else chr(96 + i // 26) || chr(97 + i % 26) end token from (select *, regexp_extract(path, '([0-9]+)$', 1)::int i,
+    row_number() over (partition by tree_id order by list_transform(string_split(path, '.'), lambda x: x::int)) place from (select distinct tree_id, path from ({_TREE}))) where place <= 10""",
+)
 def expand_budgeted(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten nodes of each tree in depth-first order, with their branch tokens."""
     n = graph.preorder(_nodes(spark, sf).select("tree_id", "node_path", "parent_path"), "tree_id", "node_path").where("place <= 10")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodespark.functions.text import squeeze
 from lodespark.operators import consensus, reports, rules
 from lodespark.plans.catalog import CORE
+from lodespark.plans.reference_graph import _META, tree_meta
 from lodespark.plans.reference_search import _RULES, _hits, _most, _pick
 from lodespark.sources.tables import table
 
@@ -71,40 +72,6 @@ def document_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(rules.sentences(F.col("text"))).alias("place", "sentence"))
 
 
-_R = (("eval", "critical input"), ("hash", "weak signature"), ("cyclic", "import order"), ("docstring", "missing words"))
-
-
-def _rule_list() -> list[rules.Rule]:
-    return [(F.contains(F.lower("claim"), F.lit(w)), r) for w, r in _R]
-
-
-_ts = [f"contains(lower(claim), '{w}')" for w, _ in _R]
-
-
-@CORE.query("rule_first", "select report_id, case " + " ".join(f"when {t} then '{r}'" for t, (_, r) in zip(_ts, _R, strict=True)) + " else 'none' end result from claim_reports")
-def rule_first(spark: SparkSession, sf: str) -> DataFrame:
-    """The first rule that holds."""
-    return table(spark, sf, "claim_reports", "report_id", "claim").select("report_id", rules.first_rule(_rule_list(), "none").alias("result"))
-
-
-@CORE.query("rule_last", "select report_id, case " + " ".join(f"when {t} then '{r}'" for t, (_, r) in reversed(list(zip(_ts, _R, strict=True)))) + " else 'none' end result from claim_reports")
-def rule_last(spark: SparkSession, sf: str) -> DataFrame:
-    """The last rule that holds."""
-    return table(spark, sf, "claim_reports", "report_id", "claim").select("report_id", rules.last_rule(_rule_list(), "none").alias("result"))
-
-
-@CORE.query(
-    "rule_all_capped",
-    "select report_id, unnest(case when len(h) > 0 then h[1:5] else ['look again', 'ask'] end) result from (select report_id, list_filter(["
-    + ", ".join(f"case when {t} then '{r}' end" for t, (_, r) in zip(_ts, _R, strict=True))
-    + "], lambda x: x is not null) h from claim_reports)",
-)
-def rule_all_capped(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules that hold, at most five, else a fallback."""
-    hit = rules.all_rules(_rule_list(), 5, ("look again", "ask"))
-    return table(spark, sf, "claim_reports", "report_id", "claim").select("report_id", F.explode(hit).alias("result"))
-
-
 _ONE = "(select distinct run_id, repo, tests_passed, safety_gates_passed, duration_seconds, patches_applied, findings_count, ts, errors from runs)"
 
 
@@ -138,11 +105,13 @@ def five_whys(spark: SparkSession, sf: str) -> DataFrame:
     return rules.why_chain(f, "issue").select("tree_id", "level", "confidence").distinct()
 
 
-@CORE.query("tree_actions")
+@CORE.query(
+    "tree_actions",
+    f"""select tree_id, aggregate, case when lower(severity) = 'critical' and aggregate > 0.7 then 'patch' when lower(severity) in ('critical', 'high') and aggregate > 0.5 then 'review' when aggregate < 0.3 then 'ignore' else 'escalate' end "action"
+    from ({_META}) join (select distinct tree_id, severity from fractal_trees) using (tree_id)""",
+)
 def tree_actions(spark: SparkSession, sf: str) -> DataFrame:
     """What to do about each finding."""
-    from lodespark.plans.reference_graph import tree_meta
-
     t = table(spark, sf, "fractal_trees", "tree_id", "severity").distinct()
     return tree_meta(spark, sf).join(t, "tree_id").select("tree_id", "aggregate", rules.tree_action(F.col("severity"), F.col("aggregate")).alias("action"))
 
