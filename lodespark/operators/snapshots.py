@@ -125,7 +125,7 @@ def changes(rows: DataFrame, attributes: list[str], scope: str = "repo", snapsho
     for lo in range(1, rounds + 1, TOGETHER):
         own = range(lo, min(lo + TOGETHER, rounds + 1))
         made = [hash_index(held.where(F.col("ord") == n), *on, attributes).withColumn("ord", F.lit(n)) for n in own]
-        table = write_bucketed(_united(made), new_path(spark, "snapshot-index"), on, buckets)
+        table = write_bucketed(_united(made), new_path(spark, "snapshot-index"), on, buckets, order="ord")
         for n in own:
             new = table.where(F.col("ord") == n)
             if old is not None:
