@@ -328,10 +328,10 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TREE = _P1_WITH + "select distinct tree_id, path, try_cast(j->>'confidence' as double) confidence from n"
-_META = f"""select tree_id, count(*) nodes, max(len(string_split(path, '.')))::int "depth", round(avg(confidence) * case when max(len(string_split(path, '.'))) >= 5 then 1.0 else 0.8 end, 6) aggregate from ({_TREE}) group by 1"""
+TREE_META = f"""select tree_id, count(*) nodes, max(len(string_split(path, '.')))::int "depth", round(avg(confidence) * case when max(len(string_split(path, '.'))) >= 5 then 1.0 else 0.8 end, 6) aggregate from ({_TREE}) group by 1"""
 
 
-@CORE.query("tree_meta", _META)
+@CORE.query("tree_meta", TREE_META)
 def tree_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Size, depth and mean confidence of each tree, with the penalty for shallow ones."""
     g = _nodes(spark, sf).groupBy("tree_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.avg("confidence").alias("m"))

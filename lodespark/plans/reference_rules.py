@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodespark.functions.text import squeeze
 from lodespark.operators import consensus, reports, rules
 from lodespark.plans.catalog import CORE
-from lodespark.plans.reference_graph import _META, tree_meta
+from lodespark.plans.reference_graph import TREE_META, tree_meta
 from lodespark.plans.reference_search import _RULES, _hits, _most, _pick
 from lodespark.sources.tables import table
 
@@ -108,7 +108,7 @@ def five_whys(spark: SparkSession, sf: str) -> DataFrame:
 @CORE.query(
     "tree_actions",
     f"""select tree_id, aggregate, case when lower(severity) = 'critical' and aggregate > 0.7 then 'patch' when lower(severity) in ('critical', 'high') and aggregate > 0.5 then 'review' when aggregate < 0.3 then 'ignore' else 'escalate' end "action"
-    from ({_META}) join (select distinct tree_id, severity from fractal_trees) using (tree_id)""",
+    from ({TREE_META}) join (select distinct tree_id, severity from fractal_trees) using (tree_id)""",
 )
 def tree_actions(spark: SparkSession, sf: str) -> DataFrame:
     """What to do about each finding."""
